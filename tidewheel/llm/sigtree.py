@@ -85,7 +85,7 @@ def frequent_tokens(docs: DataFrame, words: int) -> np.ndarray:
     return np.sort(hot.column("token").to_numpy().view(np.uint64))
 
 
-def bitmap(tokens: np.ndarray, per_token: int = 4) -> bytes:
+def bitmap(tokens: np.ndarray, per_token: int) -> bytes:
     """One bit of 2**k >= per_token * n for each token."""
     width = max(64, 1 << int(per_token * max(1, len(tokens)) - 1).bit_length())
     bits = np.zeros(width, bool)
@@ -240,33 +240,35 @@ def _features(hot, words: int, percent: int):
         frequent = hot.value
         for batch in batches:
             for part, texts in slices(batch):
-                n, key, prefix = [], [], []
+                n, key, prefix, bits = [], [], [], []
                 for s in Words(texts, SPACE).shingle_sets(words):
                     n.append(len(s))
                     if not len(s):
                         key.append(None)
                         prefix.append(None)
+                        bits.append(None)
                         continue
                     lanes = np.array([s.sum(dtype=np.uint64), np.bitwise_xor.reduce(s * np.uint64(0xD6E8FEB86659FD93) ^ (s >> np.uint64(32)))], np.uint64)
                     key.append(lanes.tobytes())
+                    bits.append(bitmap(s, 1))
                     p = len(s) - -(-percent * len(s) // 100) + 1
                     if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                         often = frequent[at] == s
                         s = np.concatenate([s[~often], s[often]]) if often.any() else s
                     prefix.append(s[:p].view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "key", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["id", "n", "key", "prefix", "bits"])
 
     return run
 
 
-def _payload(words: int, what: str):
+def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch):
-                out = [s.tobytes() if what == "tokens" else bitmap(s) for s in Words(texts, SPACE).shingle_sets(words)]
+                out = [s.tobytes() for s in Words(texts, SPACE).shingle_sets(words)]
                 keep = [c for c in part.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(out, pa.binary())], [*keep, what])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(out, pa.binary())], [*keep, "tokens"])
 
     return run
 
@@ -277,21 +279,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     hot = spark.sparkContext.broadcast(frequent_tokens(d, words))
-    feats = graph.cut(d.mapInArrow(_features(hot, words, percent), "id long, n long, key binary, prefix array<long>"))
+    feats = graph.cut(d.mapInArrow(_features(hot, words, percent), "id long, n long, key binary, prefix array<long>, bits binary"))
     # Copies collapse: one row per class of equal sets, its smallest id standing for it.
     linkable = feats.where("n > 0 AND id IS NOT NULL")
     classes = linkable.groupBy("key", "n").agg(F.min_by(F.struct("id", "prefix"), "id").alias("c")).select("key", "n", "c.*")
     rows = classes.select("id", F.explode("prefix").alias("token"))
     shared = graph.cut(rows.withColumn("m", F.count("*").over(Window.partitionBy("token"))).where("m > 1"))
-    needed = shared.select("id").distinct()
     sized = feats.where("n > 0").select("id", "n")
-    bits = _join_text(d, needed).mapInArrow(_payload(words, "bits"), "id long, bits binary").join(sized.distinct(), "id")
+    bits = linkable.select("id", "n", "bits").dropDuplicates(["id", "n", "bits"])
     keyed = graph.block_pairs(shared.join(bits, "id"), "id", "m", TOKEN_BLOCK)
     cand = graph.cut(graph.by_group(keyed, ["token", "bi", "bj"], _candidates(percent), "a long, b long").distinct())
     label = graph.components(cand, "a", "b")
     member = label.join(sized.groupBy("id").agg(F.max("n").alias("n")), "id")
     member = graph.cut(member.join(member.groupBy("component").agg(F.sum(F.col("n") * 8).alias("bytes")), "component"))
-    sets = _join_text(d, member.select("id", "component", "bytes")).mapInArrow(_payload(words, "tokens"), "id long, component long, bytes long, tokens binary")
+    sets = _join_text(d, member.select("id", "component", "bytes")).mapInArrow(_sets(words), "id long, component long, bytes long, tokens binary")
     exact = graph.by_group(graph.block_pairs(sets, "id", "bytes", SET_BLOCK), ["component", "bi", "bj"], _exact(percent), "a long, b long")
     exact = graph.cut(exact)
     if not member.where(F.col("bytes") > SET_BLOCK).isEmpty():
