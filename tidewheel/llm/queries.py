@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import ship
-from . import decontam, mix, rules, sigtree
+from . import decontam, mix, quality, rules, sigtree, toxicity
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -13,6 +13,10 @@ def table(spark, sf_dir: str, name: str):
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark, sf_dir):
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_mixing(spark, sf_dir):
     return mix.digest(table(spark, sf_dir, "documents"))
 
@@ -29,4 +33,8 @@ def op8_quality_rules(spark, sf_dir):
     return rules.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_ngram_jaccard_join, op6_decontamination, op8_quality_rules)}
+def op10_quality_classifier(spark, sf_dir):
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_mixing, op4_ngram_jaccard_join, op6_decontamination, op8_quality_rules, op10_quality_classifier)}

@@ -35,7 +35,7 @@ from .text import PUNCT, Words, slices
 WINDOW, STRIDE, PIECE = 32, 16, 32
 SAMPLE, MAX_CHARS = 4000, 200_000
 CHAR_DIM, CHAR_HIDDEN, WORD_DIM, HIDDEN, VOCABULARY = 8, 12, 8, 8, 1 << 16
-ROUNDS, STEPS, BATCH, RATE, DROP, SEED = 3, 150, 96, 0.01, 0.5, 11
+ROUNDS, STEPS, BATCH, RATE, DROP, SEED = 3, 180, 96, 0.01, 0.5, 11
 HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), {m}) = {r}"
 
 
@@ -227,14 +227,14 @@ class Network:
         np.maximum.at(best, text, logit)
         return sigmoid(best - self.shift)
 
-    def step(self, v: Vocabulary, start: np.ndarray, length: np.ndarray, label: np.ndarray, state: dict, rng: np.random.Generator) -> float:
-        """One step of Adam over a batch of windows."""
+    def step(self, v: Vocabulary, words: np.ndarray, length: np.ndarray, label: np.ndarray, state: dict, rng: np.random.Generator) -> float:
+        """One step of Adam over a batch of windows; words: of each, in a row."""
         p, grads = self.p, {}
         order = np.argsort(-length, kind="stable")
-        start, length, label = start[order], length[order], label[order]
-        at = np.minimum(start[None, :] + np.arange(length[0])[:, None], len(v.words) - 1)
-        rows, at = np.unique(v.words[at], return_inverse=True)
-        at = at.reshape(length[0], len(start))
+        length, label = length[order], label[order]
+        words = words[order].T[: length[0]]
+        rows, at = np.unique(words, return_inverse=True)
+        at = at.reshape(words.shape)
         # Without its embedding now and then, a word must be judged by its bytes.
         drop = np.where(rng.random(len(rows)) < DROP, 0, 1 / (1 - DROP)).astype(np.float32)
         x = self.word_vectors(v, rows, True, drop)
@@ -265,7 +265,7 @@ class Network:
 
     def _adam(self, grads: dict, state: dict) -> None:
         n = state["n"] = state.get("n", 0) + 1
-        rate = RATE * np.sqrt(1 - 0.999**n) / (1 - 0.9**n)
+        rate = RATE * max(0.1, 1 - n / (ROUNDS * STEPS)) * np.sqrt(1 - 0.999**n) / (1 - 0.9**n)
         for k, g in grads.items():
             m, s = state.setdefault(k, (np.zeros_like(self.p[k]), np.zeros_like(self.p[k])))
             if isinstance(g, tuple):
@@ -312,8 +312,9 @@ def train(texts: pa.Array, label: np.ndarray, seed: int = SEED) -> Network | Non
     full = length > 0
     odds = np.concatenate([_telling(v, label), [0.0]])
     at = start[:, None] + np.arange(WINDOW)
-    at = np.where(np.arange(WINDOW) < length[:, None], v.words[np.minimum(at, len(v.words) - 1)], len(odds) - 1)
-    told = odds[at].max(1)
+    words = v.words[np.minimum(at, max(0, len(v.words) - 1))] if len(v.words) else np.zeros(at.shape, np.int64)
+    at = odds[np.where(np.arange(WINDOW) < length[:, None], words, len(odds) - 1)]
+    told, where = at.max(1), at.argmax(1)
     worth = told
     # Every third text only helps to set the cut, unless texts are few.
     fit_on = (np.arange(len(label)) % 3 > 0) | (np.bincount(label, minlength=2)[label] < 300)
@@ -337,7 +338,21 @@ def train(texts: pa.Array, label: np.ndarray, seed: int = SEED) -> Network | Non
         hard = hard[np.argsort(-worth[hard])][: max(BATCH, len(hard) // 4)]
         for _ in range(STEPS):
             pick = np.concatenate([rng.choice(bad, BATCH // 2), rng.choice(clean, BATCH // 4), rng.choice(hard, BATCH // 4)])
-            net.step(v, start[pick], length[pick], label[text[pick]].astype(np.float32), state, rng)
+            some, sizes = words[pick], length[pick]
+            # Half of the toxic windows lend their telling word, with neighbours, to clean ones.
+            for j in range(BATCH // 4):
+                q, n = where[pick[j]], rng.integers(1, 4)
+                if told[pick[j]] > 0:
+                    q = max(0, q - rng.integers(0, n))
+                    lent = some[j, q : min(q + n, length[pick[j]])].copy()
+                    to = rng.choice(clean)
+                    put = rng.integers(0, max(1, length[to] - len(lent) + 1))
+                    lent = lent[: length[to] - put]
+                    if where[pick[j]] < q + len(lent):
+                        some[j] = words[to]
+                        some[j, put : put + len(lent)] = lent
+                        sizes[j] = length[to]
+            net.step(v, some, sizes, label[text[pick]].astype(np.float32), state, rng)
     best = np.full(len(label), -np.inf)
     np.maximum.at(best, text, net.logits(v)[3])
     net.shift = threshold(best, label)
