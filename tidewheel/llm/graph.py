@@ -144,3 +144,28 @@ def block_pairs(df: DataFrame, id_col: str, weight: str, cap: int) -> DataFrame:
 def run_dir(spark: SparkSession) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/tidewheel-{uuid.uuid4().hex}"
+
+
+class Bloom:
+    """A fixed-size filter of 64-bit hash ids, built on the executors; what
+    reaches the driver is its BITS / 8 bytes, whatever the number of ids. Beyond
+    its capacity it only lets more rows through to the join that follows."""
+
+    BITS = 1 << 25
+
+    def __init__(self, ids: DataFrame, column: str):
+        # The ids are hashes: their own bits serve as the filter's.
+        spots = F.array(*[F.shiftrightunsigned(F.col(column), s).bitwiseAND(F.lit(self.BITS - 1)) for s in (0, 20, 39)])
+        bit = ids.select(F.explode(spots).alias("b"))
+        words = bit.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(b & 63))")).alias("x")).toArrow()
+        table = np.zeros(self.BITS >> 6, np.uint64)
+        table[words.column("w").to_numpy()] = words.column("x").to_numpy().view(np.uint64)
+        self.table = ids.sparkSession.sparkContext.broadcast(table)
+
+    def may_hold(self, ids: np.ndarray) -> np.ndarray:
+        table, h = self.table.value, ids.view(np.uint64)
+        ok = np.ones(len(h), bool)
+        for s in (0, 20, 39):
+            b = (h >> np.uint64(s)) & np.uint64(self.BITS - 1)
+            ok &= (table[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) > 0
+        return ok

@@ -122,6 +122,27 @@ class Words:
                 yield np.zeros(0, np.uint64)
 
 
+def words_of(texts: pa.Array, separators: np.ndarray) -> Words:
+    """Words of many texts, split slice by slice to keep memory low."""
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    parts = [Words(t, separators) for _, t in slices(batch)]
+    all_ = Words(pa.array([], pa.string()), separators)
+    bytes_, words = 0, 0
+    firsts, starts, ends = [np.zeros(1, np.int64)], [], []
+    for p in parts:
+        starts.append(p.start + bytes_)
+        ends.append(p.end + bytes_)
+        firsts.append(p.first[1:] + words)
+        bytes_ += len(p.data)
+        words += len(p.h)
+    if parts:
+        all_.data = np.concatenate([p.data for p in parts])
+        all_.start, all_.end, all_.first = np.concatenate(starts), np.concatenate(ends), np.concatenate(firsts)
+        all_.h = np.concatenate([p.h for p in parts])
+        all_.off = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p.off) for p in parts]))])
+    return all_
+
+
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """The batch in parts of about SLICE_BYTES of text, each with its texts."""
     texts = batch.column(column)

@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import PUNCT, Words, slices
+from .text import PUNCT, slices, words_of
 
 WINDOW, STRIDE, PIECE = 32, 16, 32
-SAMPLE, MAX_CHARS = 4000, 200_000
+SAMPLE, MAX_CHARS = 2500, 200_000
 CHAR_DIM, CHAR_HIDDEN, WORD_DIM, HIDDEN, VOCABULARY = 8, 12, 8, 8, 1 << 16
-ROUNDS, STEPS, BATCH, RATE, DROP, SEED = 3, 180, 96, 0.01, 0.5, 11
+ROUNDS, STEPS, BATCH, RATE, DROP, SEED = 3, 240, 96, 0.01, 0.5, 11
 HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), {m}) = {r}"
 
 
@@ -138,7 +138,7 @@ class Vocabulary:
     """Distinct words of a slice: bytes, lengths (longest first) and embedding rows."""
 
     def __init__(self, texts: pa.Array):
-        w = Words(texts, PUNCT)
+        w = words_of(texts, PUNCT)
         length = w.end - w.start
         if len(length) and length.max() > PIECE:
             parts = -(-length // PIECE)
@@ -155,7 +155,7 @@ class Vocabulary:
         order = np.argsort(-size, kind="stable")
         place = np.empty(len(u), np.int64)
         place[order] = np.arange(len(u))
-        self.words = place[word]
+        self.words = place[word].astype(np.int32)
         self.size = size[order]
         self.hash = u[order]
         self.row = (self.hash >> np.uint64(48)).astype(np.int64)
@@ -301,8 +301,9 @@ def _telling(v: Vocabulary, label: np.ndarray) -> np.ndarray:
     return best
 
 
-def train(texts: pa.Array, label: np.ndarray, seed: int = SEED) -> Network | None:
-    """A network, or None without texts of both classes."""
+def train(texts: pa.Array, label: np.ndarray, clean_weight: float = 1.0, seed: int = SEED) -> Network | None:
+    """A network, or None without texts of both classes. clean_weight: clean
+    labelled texts there are for each one in the sample; it weighs in the cut."""
     if len(label) == 0 or label.min() == label.max():
         return None
     rng = np.random.default_rng(seed)
@@ -310,8 +311,8 @@ def train(texts: pa.Array, label: np.ndarray, seed: int = SEED) -> Network | Non
     v = Vocabulary(texts)
     text, start, length = v.windows()
     full = length > 0
-    odds = np.concatenate([_telling(v, label), [0.0]])
-    at = start[:, None] + np.arange(WINDOW)
+    odds = np.concatenate([_telling(v, label), [0.0]]).astype(np.float32)
+    at = (start[:, None] + np.arange(WINDOW)).astype(np.int32)
     words = v.words[np.minimum(at, max(0, len(v.words) - 1))] if len(v.words) else np.zeros(at.shape, np.int64)
     at = odds[np.where(np.arange(WINDOW) < length[:, None], words, len(odds) - 1)]
     told, where = at.max(1), at.argmax(1)
@@ -355,33 +356,35 @@ def train(texts: pa.Array, label: np.ndarray, seed: int = SEED) -> Network | Non
             net.step(v, some, sizes, label[text[pick]].astype(np.float32), state, rng)
     best = np.full(len(label), -np.inf)
     np.maximum.at(best, text, net.logits(v)[3])
-    net.shift = threshold(best, label)
+    net.shift = threshold(best, label, clean_weight)
     return net
 
 
-def threshold(score: np.ndarray, label: np.ndarray) -> float:
-    """The cut between scores with the best F1 for label 1."""
+def threshold(score: np.ndarray, label: np.ndarray, clean_weight: float = 1.0) -> float:
+    """The cut between scores with the best F1 for label 1, a clean text counting clean_weight times."""
     order = np.argsort(-score)
     s, y = score[order], label[order]
     hit = np.cumsum(y)
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
+    f1 = 2 * hit / (hit + clean_weight * np.cumsum(1 - y) + y.sum())
     f1[:-1][s[:-1] == s[1:]] = -1
     i = int(f1.argmax())
     return float((s[i] + s[i + 1]) / 2) if i + 1 < len(s) else float(s[i] - 1)
 
 
-def sample(docs: DataFrame, labels: DataFrame, target: str, m: int, r: int, bound: int = SAMPLE) -> pa.Table:
-    """(text, label): at most bound labelled rows of each class, none held out."""
+def sample(docs: DataFrame, labels: DataFrame, target: str, m: int, r: int, bound: int = SAMPLE) -> tuple[pa.Table, float]:
+    """(text, label), at most bound labelled rows of each class, none held out;
+    and how many clean labelled rows stand behind each clean one of these."""
     known = labels.where(f"{target} IN (0, 1) AND doc_id IS NOT NULL AND NOT ({HELD_OUT.format(m=m, r=r)})").groupBy("doc_id").agg(F.max(target).alias("label"))
     known = known.withColumn("h", F.xxhash64("doc_id"))
     some = known.where("label = 1").orderBy("h", "doc_id").limit(bound).union(known.where("label = 0").orderBy("h", "doc_id").limit(bound))
+    clean = known.where("label = 0").count()
     rows = docs.where(f"text IS NOT NULL AND length(text) <= {MAX_CHARS}").select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    return rows.dropDuplicates(["doc_id"]).orderBy("h", "doc_id").select("text", "label").toArrow()
+    return rows.dropDuplicates(["doc_id"]).orderBy("h", "doc_id").select("text", "label").toArrow(), max(1.0, clean / bound)
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", m: int = 5, r: int = 0) -> Network | None:
-    rows = sample(docs, labels, target, m, r)
-    return train(rows.column("text").combine_chunks(), rows.column("label").to_numpy().astype(np.int64)) if rows.num_rows else None
+    rows, weight = sample(docs, labels, target, m, r)
+    return train(rows.column("text").combine_chunks(), rows.column("label").to_numpy().astype(np.int64), weight) if rows.num_rows else None
 
 
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
