@@ -34,8 +34,8 @@ from .text import PUNCT, slices, words_of
 
 WINDOW, STRIDE, PIECE = 32, 16, 32
 SAMPLE, MAX_CHARS = 2500, 200_000
-CHAR_DIM, CHAR_HIDDEN, WORD_DIM, HIDDEN, VOCABULARY = 8, 12, 8, 8, 1 << 16
-ROUNDS, STEPS, BATCH, RATE, DROP, SEED = 3, 240, 96, 0.01, 0.5, 11
+CHAR_DIM, CHAR_HIDDEN, WORD_DIM, HIDDEN, VOCABULARY = 8, 16, 8, 12, 1 << 16
+ROUNDS, STEPS, BATCH, RATE, DROP, SEED = 3, 180, 96, 0.01, 0.3, 11
 HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), {m}) = {r}"
 
 
