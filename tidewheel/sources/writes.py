@@ -72,7 +72,8 @@ def parse(bodies: DataFrame, now: int, column: str = "body", bound: DataFrame |
     declared = F.lower(F.col("e.field_types")[F.col("field")])
     kinds = F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])
     # from_json drops the quotes of strings: the raw text tells a quoted number from a number.
-    quoted = F.expr("raw RLIKE concat('\"', field, '\"\\\\s*:\\\\s*\\\\[?\\\\s*\"')")
+    each = each.withColumn("_raw", F.get_json_object("raw", "$.fields"))
+    quoted = F.expr("_raw RLIKE concat('\"', field, '\"\\\\s*:\\\\s*\\\\[?\\\\s*\"')")
     have = F.when(quoted, "string").otherwise(_literal(F.col("_value")))
     each = each.withColumns({"_have": have, "_declared": kinds[declared]})
     key = F.col("e.measurement").alias("measurement")

@@ -115,7 +115,7 @@ def joined(series: dict[str, DataFrame], interval: int | str) -> DataFrame:
         last = {n: (held[2 * i], held[2 * i + 1]) for i, n in enumerate(names)}
         pdf = pd.concat(list(frames)).sort_values("ts", kind="stable").drop_duplicates(["name", "ts"], keep="last")
         wide = pdf.pivot(index="ts", columns="name", values="value")
-        seen = pdf.assign(one=True).pivot(index="ts", columns="name", values="one")
+        seen = pdf.assign(one=1).pivot(index="ts", columns="name", values="one")
         newest, rows = int(pdf["ts"].max()), []
         for n, (_, t) in last.items():
             if t is not None and t < newest - CARRY * step:
@@ -123,7 +123,7 @@ def joined(series: dict[str, DataFrame], interval: int | str) -> DataFrame:
         for ts in wide.index:
             row = {"ts": int(ts)}
             for n in names:
-                if n in wide.columns and seen[n][ts] is True:
+                if n in wide.columns and seen[n][ts] == 1:
                     v = wide[n][ts]
                     last[n] = (None if v != v else float(v), int(ts))
                 row[n] = math.nan if last[n][0] is None else last[n][0]
@@ -131,7 +131,7 @@ def joined(series: dict[str, DataFrame], interval: int | str) -> DataFrame:
         state.update(tuple(x for n in names for x in last[n]))
         yield pd.DataFrame(rows, columns=["ts", *names])
 
-    return every.groupBy(F.lit("all")).applyInPandasWithState(run, f"ts long, {fields}", state_schema, "append", GroupStateTimeout.NoTimeout)
+    return every.withColumn("_all", F.lit("all")).groupBy("_all").applyInPandasWithState(run, f"ts long, {fields}", state_schema, "append", GroupStateTimeout.NoTimeout)
 
 
 def carried(series: dict[str, DataFrame], formula: str, interval: int | str) -> DataFrame:
