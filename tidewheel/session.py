@@ -22,5 +22,7 @@ def ship(spark: SparkSession) -> SparkSession:
             for p in sorted(top.rglob("*.py")):
                 z.write(p, f"{top.name}/{p.relative_to(top)}")
         sc.addPyFile(path)
+        # Texts are long: small Arrow batches keep a worker's memory low.
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
         _shipped.add(sc.applicationId)
     return spark
