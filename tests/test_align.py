@@ -20,8 +20,10 @@ def rows(df, *cols):
 def test_join_strategies(spark):
     a, b = frame(spark, [(1, 1.0), (2, 2.0), (3, None)]), frame(spark, [(2, 20.0), (3, 30.0), (4, 40.0)])
     assert rows(align({"a": a, "b": b})) == [(2, 2.0, 20.0), (3, None, 30.0)]
-    assert rows(align({"a": a, "b": b}, "outer")) == [(1, 1.0, None), (2, 2.0, 20.0), (3, None, 30.0), (4, None, 40.0)]
-    assert rows(align({"b": b, "a": a}, "left")) == [(1, 1.0, None), (2, 2.0, 20.0), (3, None, 30.0)]
+    assert rows(align({"a": a, "b": b}, "outer", mode="nan")) == [(1, 1.0, None), (2, 2.0, 20.0), (3, None, 30.0), (4, None, 40.0)]
+    assert rows(align({"b": b, "a": a}, "left", mode="previous")) == [(1, 1.0, None), (2, 2.0, 20.0), (3, None, 30.0)]
+    c = frame(spark, [(0, 0.0), (4, 8.0)])
+    assert rows(align({"a": frame(spark, [(1, 1.0), (6, 5.0)]), "c": c}, "outer")) == [(0, 1.0, 0.0), (1, 1.0, 2.0), (4, 3.4, 8.0), (6, 5.0, 8.0)]
     plan = align({"a": a, "b": b, "c": a, "d": b})._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
 
@@ -43,6 +45,10 @@ def test_resample_uses_points_outside_the_common_ones(spark):
     assert rows(resample({"a": a, "b": b}, 10)) == [(t, float(t), t / 10) for t in (0, 10, 20, 30, 40)]
 
 
+def test_a_single_series_is_resampled_too(spark):
+    assert rows(align({"a": frame(spark, [(10, 1.0), (40, 4.0)])}, interval=10)) == [(t, t / 10) for t in (10, 20, 30, 40)]
+
+
 def test_resample_leaves_axes_that_would_be_too_long(spark):
     a = frame(spark, [(0, 0.0), (10**12, 1.0)])
     assert rows(resample({"a": a, "b": a}, 10)) == [(0, 0.0, 0.0), (10**12, 1.0, 1.0)]
@@ -78,6 +84,7 @@ def test_derived_rules(spark):
     assert {(r.metric, r.value) for r in by.collect()} == {("cpu", 90.0), ("memory", 45.0)}
     shift = derive(m, build("time_shift(a, '1s') * 2"))
     assert rows(shift)[0] == (2 * S, 20.0)
+    assert [r.ts for r in derive(m, build("a").every("3s")).orderBy("ts").collect()] == [0, 3 * S, 6 * S, 9 * S]
 
 
 def test_interval_reaches_anomalies(spark):

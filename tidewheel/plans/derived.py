@@ -11,7 +11,7 @@ from ..parse.formula import Anomalies, Forecast, parse_formula, references
 from ..parse.query import parse_query
 from ..parse.values import ParseError, parse_interval, parse_time
 from ..sources.points import Source
-from .align import align, resample
+from .align import align
 from .formula import Compiler
 from .query import QueryError, numeric
 
@@ -97,7 +97,7 @@ def evaluate(node, series: dict[str, DataFrame], q: DerivedQuery, keys: list[str
     if isinstance(node, Forecast):
         span = (q.end or 0) - (q.start or 0)
         return forecast.forecast(series[node.name], node.algorithm, node.deviations, node.seasonality, node.model, node.history, span=span, keys=keys)
-    frame = resample(series, q.interval, q.mode, keys) if q.interval and len(series) > 1 else align(series, q.how, keys)
+    frame = align(series, q.how, q.interval, q.mode, keys)
     return Compiler(frame, list(series), keys).result(node)
 
 

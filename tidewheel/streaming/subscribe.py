@@ -137,7 +137,7 @@ def joined(series: dict[str, DataFrame], interval: int | str) -> DataFrame:
 def carried(series: dict[str, DataFrame], formula: str, interval: int | str) -> DataFrame:
     """The same over finished buckets of a batch, with the formula applied: (ts, value)."""
     step, names = parse_interval(interval), sorted(series)
-    frame = align(series, "outer")
+    frame = align(series, "outer", mode="nan")
     w = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     point = {n: F.last(F.when(F.col(n).isNotNull(), F.struct("ts", F.col(n).alias("v"))), True).over(w) for n in names}
     frame = frame.select("ts", *[F.when(p["ts"] >= F.col("ts") - CARRY * step, p["v"]).alias(n) for n, p in point.items()])

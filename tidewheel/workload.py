@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import catalog, groups, maintenance
+from .parse.formula import parse_formula, references
 from .parse.query import parse_query
 from .plans.align import align, interpolate
 from .plans.derived import DerivedQuery, derive, derive_by
@@ -206,24 +207,30 @@ def _grid(kind: str, step: int) -> str:
     return f"SELECT t // {step} * {step} AS ts, sum(value) AS v FROM {EV} WHERE event_type = '{kind}' AND {RANGE} GROUP BY 1"
 
 
-def frame(step: int = 6 * HOUR) -> str:
-    """The resampled frame (ts, a, b): a dense grid, gaps filled on a line."""
+KINDS = {"a": "click", "b": "purchase"}
 
-    def on(name: str) -> str:
-        # Neighbours by as-of joins.
-        return f"""(SELECT g.ts, CASE WHEN p.ts = g.ts THEN p.v WHEN p.ts IS NULL THEN n.v WHEN n.ts IS NULL THEN p.v
-          ELSE p.v + (n.v - p.v) * ((g.ts - p.ts) / (n.ts - p.ts)) END AS v
-          FROM g ASOF LEFT JOIN {name} p ON g.ts >= p.ts ASOF LEFT JOIN {name} n ON g.ts <= n.ts)"""
 
-    return f"""WITH xa AS ({_grid('click', step)}), xb AS ({_grid('purchase', step)}),
-      lim AS (SELECT min(ts) AS lo, max(ts) AS hi FROM xa JOIN xb USING (ts)),
+def on(name: str) -> str:
+    """The series x<name> at the timestamps of g, interpolated on a line: neighbours by as-of joins."""
+    return f"""(SELECT g.ts, CASE WHEN p.ts = g.ts THEN p.v WHEN p.ts IS NULL THEN n.v WHEN n.ts IS NULL THEN p.v
+      ELSE p.v + (n.v - p.v) * ((g.ts - p.ts) / (n.ts - p.ts)) END AS v
+      FROM g ASOF LEFT JOIN x{name} p ON g.ts >= p.ts ASOF LEFT JOIN x{name} n ON g.ts <= n.ts)"""
+
+
+def frame(step: int = 6 * HOUR, names: str = "ab") -> str:
+    """The resampled frame f (ts, a, b): a dense grid over the common range."""
+    series = ", ".join(f"x{n} AS ({_grid(KINDS[n], step)})" for n in names)
+    common = " JOIN ".join(f"x{n}" for n in names).replace("JOIN xb", "JOIN xb USING (ts)")
+    joined = f"{on(names[0])} r{names[0]}" + "".join(f" JOIN {on(n)} r{n} USING (ts)" for n in names[1:])
+    return f"""WITH {series}, lim AS (SELECT min(ts) AS lo, max(ts) AS hi FROM {common}),
       g AS (SELECT unnest(range(lo, hi + 1, {step})) AS ts FROM lim),
-      f AS (SELECT ra.ts, ra.v AS a, rb.v AS b FROM {on('xa')} ra JOIN {on('xb')} rb USING (ts))"""
+      f AS (SELECT ts, {", ".join(f"r{n}.v AS {n}" for n in names)} FROM {joined})"""
 
 
 def formula(name: str, text: str, sql: str, interval: str = "6h", step: int = 6 * HOUR) -> None:
-    """sql: over f (ts, a, b)."""
-    add(name, lambda s, d: two(s, d, text, interval), f"{frame(step)} SELECT ts, round({sql}, 6) AS value FROM f")
+    """sql: over f (ts, a, b), or what of them the formula refers to."""
+    names = "".join(references(parse_formula(text)))
+    add(name, lambda s, d: two(s, d, text, interval), f"{frame(step, names)} SELECT ts, round({sql}, 6) AS value FROM f")
 
 
 for _n, _t, _s in (
@@ -338,7 +345,7 @@ add(
 add(
     "t23_time_shift",
     lambda s, d: two(s, d, "time_shift(a, '1d') * 2", "1d"),
-    f"SELECT ts + {DAY} AS ts, round(v * 2, 6) AS value FROM ({_grid('click', DAY)})",
+    f"{frame(DAY, 'a')} SELECT ts + {DAY} AS ts, round(a * 2, 6) AS value FROM f",
 )
 for _n, _t, _step in (
     ("r09_ema", "ema(a - b, 0.3)", "SELECT 1::BIGINT AS n, (SELECT x FROM o WHERE n = 1) AS s, 0::DOUBLE AS tr UNION ALL SELECT r.n + 1, 0.3 * o.x + 0.7 * r.s, 0 FROM r JOIN o ON o.n = r.n + 1"),
@@ -357,15 +364,13 @@ add("r11_gaussian_smooth", lambda s, d: two(s, d, "gaussian_smooth(a - b, 2)"))
 add("t18_fill_spline", lambda s, d: two(s, d, "fill_spline(cutoff_min(a + 0 * b, 900))"))
 
 # Alignment.
-for _how, _join in (("inner", "JOIN"), ("outer", "FULL JOIN"), ("left", "LEFT JOIN")):
+for _how, _times in (("inner", "SELECT ts FROM xa JOIN xb USING (ts)"), ("outer", "SELECT ts FROM xa UNION SELECT ts FROM xb"), ("left", "SELECT ts FROM xa")):
     add(
         f"j_align_{_how}",
-        lambda s, d, how=_how: rounded(
-            align({k: numeric(events(s, d), f"sum:events(value){{event_type:{t},user_id:~1.*}}", START, END, "1h") for k, t in (("a", "click"), ("b", "purchase"))}, how), "a", "b"
-        ),
+        lambda s, d, how=_how: rounded(align({k: numeric(events(s, d), f"sum:events(value){{event_type:{t},user_id:~1.*}}", START, END, "1h") for k, t in KINDS.items()}, how), "a", "b"),
         "WITH "
-        + ", ".join(f"{k} AS (SELECT t // {HOUR} * {HOUR} AS ts, sum(value) AS v FROM {EV} WHERE event_type = '{t}' AND user_id::VARCHAR LIKE '1%' AND {RANGE} GROUP BY 1)" for k, t in (("a", "click"), ("b", "purchase")))
-        + f" SELECT ts, round(a.v, 6) AS a, round(b.v, 6) AS b FROM a {_join} b USING (ts)",
+        + ", ".join(f"x{k} AS (SELECT t // {HOUR} * {HOUR} AS ts, sum(value) AS v FROM {EV} WHERE event_type = '{t}' AND user_id::VARCHAR LIKE '1%' AND {RANGE} GROUP BY 1)" for k, t in KINDS.items())
+        + f", g AS ({_times}) SELECT ts, round(ra.v, 6) AS a, round(rb.v, 6) AS b FROM {on('a')} ra JOIN {on('b')} rb USING (ts)",
     )
 _SRC = f"SELECT t // {HOUR} * {HOUR} AS ts, sum(value) AS v FROM {EV} WHERE event_type = 'click' AND user_id < 20 AND {RANGE} GROUP BY 1"
 _TGT = f"SELECT DISTINCT t // {HOUR} * {HOUR} + {HOUR // 2} AS ts FROM {EV} WHERE event_type = 'purchase' AND {RANGE}"
