@@ -28,7 +28,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder: later reads
     survive lost executors and never recompute it."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # What led here is unreachable now; a collection lets its shuffle files go.
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -85,9 +88,9 @@ class Forest:
             up = nxt
 
 
-def by_group(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str) -> DataFrame:
-    """fn over the rows of each distinct key, in batches that stream by: rows are
-    dealt and sorted by key in the JVM, and a task holds one group at a time."""
+def by_table(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """fn over the rows of each distinct key, for few large groups: rows are dealt
+    and sorted by key in the JVM, and a task holds one group at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -130,6 +133,69 @@ def by_group(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator[p
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
+def by_group(df: DataFrame, keys: list[str], columns: list[str], fn: Callable[..., tuple | None], least: int = 1) -> DataFrame:
+    """(a, b): what fn(*columns) gives for the rows of each distinct key, for very
+    many small groups: a batch's columns are converted once, groups are slices
+    of them. Integers come as numpy arrays, others as lists. Groups of fewer
+    than `least` rows are passed over."""
+
+    def values(batch: pa.RecordBatch, c: str):
+        x = batch.column(c)
+        return x.to_numpy(zero_copy_only=False) if pa.types.is_integer(x.type) else x.to_pylist()
+
+    def join(parts: list):
+        return parts[0] if len(parts) == 1 else np.concatenate(parts) if isinstance(parts[0], np.ndarray) else [x for p in parts for x in p]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = []
+        last, rows = None, 0
+        done: list[tuple] = []
+
+        def close(parts: list[list]) -> None:
+            nonlocal rows
+            if sum(len(p[0]) for p in parts) >= least:
+                out = fn(*(join([p[i] for p in parts]) for i in range(len(columns))))
+                if out is not None and len(out[0]):
+                    done.append(out)
+                    rows += len(out[0])
+
+        def flush() -> pa.RecordBatch:
+            nonlocal done, rows
+            a, b = (pa.array(np.concatenate([np.asarray(d[i], np.int64) for d in done])) for i in (0, 1))
+            done, rows = [], 0
+            return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            vals = [values(batch, c) for c in columns]
+            new = np.zeros(batch.num_rows, bool)
+            for c in cols:
+                new[1:] |= c[1:] != c[:-1]
+            first = tuple(c[0] for c in cols)
+            if held and first != last:
+                close(held)
+                held = []
+            at = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+            for x, y in zip(at[:-2], at[1:-1], strict=True):
+                if held:
+                    close([*held, [v[x:y] for v in vals]])
+                    held = []
+                elif y - x >= least:
+                    close([[v[x:y] for v in vals]])
+            held.append([v[at[-2] :] for v in vals])
+            last = tuple(c[-1] for c in cols)
+            if rows >= 8192:
+                yield flush()
+        if held:
+            close(held)
+        if done:
+            yield flush()
+
+    return df.select(*keys, *[c for c in columns if c not in keys]).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
 def block_pairs(df: DataFrame, id_col: str, weight: str, cap: int) -> DataFrame:
     """Adds bi, bj: groups whose `weight` column exceeds cap are dealt into
     ceil(weight / cap) blocks, and a row goes to every pair of blocks with its

@@ -130,7 +130,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED)
     lengths = hist.groupBy("key", "size").agg(F.sum("n").alias("n"))
     sources = lengths.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goal = graph.cut(targets(sources.select(F.expr("if(key = '', null, substring(key, 2))").alias("source"), "source_size"), weights).select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"), "source_size", "target"))
-    plan = graph.by_group(lengths.join(goal, "key"), ["key"], _fit_sources, "key string, size long, full long, extra long")
+    plan = graph.by_table(lengths.join(goal, "key"), ["key"], _fit_sources, "key string, size long, full long, extra long")
     upto = Window.partitionBy("key", "size").orderBy("bucket")
     cut = hist.join(plan, ["key", "size"]).withColumn("before", F.sum("n").over(upto) - F.col("n"))
     cut = cut.join(goal, "key").select("key", "size", "bucket", "full", "source_size", "target", F.least("n", F.greatest(F.lit(0), F.col("extra") - F.col("before"))).alias("more"), "n")

@@ -190,36 +190,59 @@ class SignatureTree:
                 forest.join(i, j)
 
 
-def _forest_edges(ids: np.ndarray, forest: graph.Forest, all_rows: bool) -> pa.RecordBatch:
+def _forest_edges(ids: np.ndarray, forest: graph.Forest, all_rows: bool) -> tuple[np.ndarray, np.ndarray]:
     """(a, b) with b the smallest id of a's tree; all_rows: members alone in theirs too."""
     up = forest.roots()
     low = np.full(len(ids), np.iinfo(np.int64).max)
     np.minimum.at(low, up, ids)
     low = low[up]
     keep = np.ones(len(ids), bool) if all_rows else low != ids
-    return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(low[keep])], ["a", "b"])
+    return ids[keep], low[keep]
 
 
 def _candidates(percent: int):
-    def group(t: pa.Table) -> pa.RecordBatch | None:
-        ids = t.column("id").to_numpy()
-        sizes = t.column("n").to_numpy()
-        if len(ids) == 2 and 100 * min(sizes) < percent * max(sizes):
-            return None
-        bits = [np.frombuffer(b, np.uint64) for b in t.column("bits").to_pylist()]
+    def group(ids: np.ndarray, sizes: np.ndarray, bitmaps: list) -> tuple | None:
+        if len(ids) == 2:
+            # Most groups are pairs: one comparison, the same bound, no tree.
+            n, m = int(sizes[0]), int(sizes[1])
+            if 100 * n < percent * m or 100 * m < percent * n:
+                return None
+            a, b = (int.from_bytes(x, "little") for x in bitmaps)
+            width = 8 * min(map(len, bitmaps))
+            (a, wa), (b, wb) = ((x, 8 * len(y)) for x, y in zip((a, b), bitmaps, strict=True))
+            while wa > width:
+                wa //= 2
+                a = a >> wa | a & ((1 << wa) - 1)
+            while wb > width:
+                wb //= 2
+                b = b >> wb | b & ((1 << wb) - 1)
+            both = (a & b).bit_count()
+            most = min(both + n - a.bit_count(), both + m - b.bit_count(), n, m)
+            if (100 + percent) * most < percent * (n + m):
+                return None
+            return ([max(ids)], [min(ids)]) if ids[0] != ids[1] else None
         forest = graph.Forest(len(ids))
-        SignatureTree(sizes, bits, percent).traverse(forest)
+        SignatureTree(sizes, [np.frombuffer(b, np.uint64) for b in bitmaps], percent).traverse(forest)
         return _forest_edges(ids, forest, False)
 
     return group
 
 
-def _exact(percent: int):
-    def group(t: pa.Table) -> pa.RecordBatch:
-        ids = t.column("id").to_numpy()
-        sets = [np.frombuffer(b, np.uint64) for b in t.column("tokens").to_pylist()]
-        sizes = np.array([len(s) for s in sets], np.int64)
+def _exact(percent: int, kind: type = np.uint64):
+    def group(ids: np.ndarray, tokens: list) -> tuple:
         forest = graph.Forest(len(ids))
+        if len(ids) <= 8:
+            # A tree over so few sets is one leaf.
+            few = [frozenset(np.frombuffer(b, kind).tolist()) for b in tokens]
+            for i in range(len(few)):
+                for j in range(i):
+                    if forest.root(i) != forest.root(j):
+                        both = len(few[i] & few[j])
+                        if 100 * both >= percent * (len(few[i]) + len(few[j]) - both):
+                            forest.join(i, j)
+            return _forest_edges(ids, forest, True)
+        sets = [np.frombuffer(b, kind) for b in tokens]
+        sizes = np.array([len(s) for s in sets], np.int64)
 
         def linked(i: int, j: int) -> bool:
             x, y = sets[i], sets[j]
@@ -229,7 +252,7 @@ def _exact(percent: int):
             both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
             return 100 * both >= percent * (len(x) + len(y) - both)
 
-        SignatureTree(sizes, [np.frombuffer(bitmap(s, 8), np.uint64) for s in sets], percent).traverse(forest, linked)
+        SignatureTree(sizes, [np.frombuffer(bitmap(s.astype(np.uint64), 8), np.uint64) for s in sets], percent).traverse(forest, linked)
         return _forest_edges(ids, forest, True)
 
     return group
@@ -288,12 +311,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sized = feats.where("n > 0").select("id", "n")
     bits = linkable.select("id", "n", "bits").dropDuplicates(["id", "n", "bits"])
     keyed = graph.block_pairs(shared.join(bits, "id"), "id", "m", TOKEN_BLOCK)
-    cand = graph.cut(graph.by_group(keyed, ["token", "bi", "bj"], _candidates(percent), "a long, b long").distinct())
+    cand = graph.cut(graph.by_group(keyed, ["token", "bi", "bj"], ["id", "n", "bits"], _candidates(percent), 2).distinct())
     label = graph.components(cand, "a", "b")
     member = label.join(sized.groupBy("id").agg(F.max("n").alias("n")), "id")
     member = graph.cut(member.join(member.groupBy("component").agg(F.sum(F.col("n") * 8).alias("bytes")), "component"))
     sets = _join_text(d, member.select("id", "component", "bytes")).mapInArrow(_sets(words), "id long, component long, bytes long, tokens binary")
-    exact = graph.by_group(graph.block_pairs(sets, "id", "bytes", SET_BLOCK), ["component", "bi", "bj"], _exact(percent), "a long, b long")
+    exact = graph.by_group(graph.block_pairs(sets, "id", "bytes", SET_BLOCK), ["component", "bi", "bj"], ["id", "tokens"], _exact(percent))
     exact = graph.cut(exact)
     if not member.where(F.col("bytes") > SET_BLOCK).isEmpty():
         found = graph.components(exact, "a", "b").select(F.col("id").alias("rep"), F.col("component").alias("low"))
@@ -318,4 +341,4 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     columns; documents without words, or with a null id, all stay."""
     c = jaccard_components(docs, "doc_id", "text", words, percent)
     gone = c.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")

@@ -412,7 +412,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """pages' columns (without html) in a struct `row`, with `text`."""
     rest = [c for c in pages.columns if c != "html"]
     d = pages.select(F.struct(*rest).alias("row"), "html", host(F.col("url")).alias("host"))
-    wrappers = graph.by_group(d.select("host", "html").mapInArrow(_learn, "host string, wrapper binary"), ["host"], _merge, "host string, wrapper binary")
+    wrappers = graph.by_table(d.select("host", "html").mapInArrow(_learn, "host string, wrapper binary"), ["host"], _merge, "host string, wrapper binary")
     wrappers = graph.cut(wrappers)
     salted = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     keyed = d.withColumn("salt", F.pmod(F.xxhash64("row", "html"), F.lit(SALTS)).cast("int"))
