@@ -120,3 +120,10 @@ def test_plan_prunes_columns_and_pushes_filters(spark, tmp_path):
     assert "ReadSchema: struct<p:string,ts:timestamp,a:double>" in plan
     assert "GreaterThanOrEqual(ts" in plan and "PushedFilters: [" in plan
     assert plan[plan.rindex("== Physical Plan ==") :].count("Exchange") == 1
+
+
+def test_latest_of_single_series_is_a_hash_aggregation(spark):
+    s = source(spark, [("a", 1, 1.0), ("a", 2, 2.0), ("b", 3, 3.0)])
+    df = numeric(s, "latest:m(v){} by {p}", interval="10s")
+    assert got(df, "p", "value") == [("a", 2.0), ("b", 3.0)]
+    assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()

@@ -10,8 +10,9 @@ NAMES = ("avg", "min", "max", "sum", "count", "latest", "first", "median", "exac
 
 def aggregate(method: str, x: Column, order: list[Column]) -> Column:
     """x: nullable double. order: (ts, tie-breakers): latest takes the greatest,
-    first the smallest among rows that have a value."""
-    at = F.when(x.isNotNull(), F.struct(*order))
+    first the smallest among rows that have a value. With ts alone the buffers
+    are fixed-size and the aggregation is by hash; a struct needs a sort."""
+    at = F.when(x.isNotNull(), order[0] if len(order) == 1 else F.struct(*order))
     return {
         "avg": lambda: F.avg(x),
         "min": lambda: F.min(x),

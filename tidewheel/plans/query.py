@@ -64,7 +64,9 @@ def numeric(source: Source, spec: QuerySpec | str, start=None, end=None, interva
     fields = tuple(f for f, k in kinds.items() if k in ("double", "long") or (k == "boolean" and booleans_as_numeric))
     keys = spec.group_by
     source = last_write_wins(replace(source, fields=fields))
-    tags = [k for k in source.tags if k in keys or spec.method in ("latest", "first")]
+    # Ties can only be between series of one group: those that differ in the other tags.
+    ties = [k for k in source.tags if k not in keys and spec.method in ("latest", "first")]
+    tags = [k for k in source.tags if k in keys] + ties
     df = source.df.select(
         *tags,
         *[F.lit(None).cast("string").alias(k) for k in keys if k not in source.tags],
@@ -72,7 +74,7 @@ def numeric(source: Source, spec: QuerySpec | str, start=None, end=None, interva
         *[F.col(f).cast("double").alias(f"_v{i}") for i, f in enumerate(fields)],
     )
     ts = bucket(F.col("_ts"), interval, anchor) if interval else F.col("_ts")
-    order = [F.col("_ts"), *[F.col(t) for t in tags]]
+    order = [F.col("_ts"), *[F.col(t) for t in ties]]
     aggs = [F.lit(0).alias("_none")]
     for i in range(len(fields)):
         raw = F.col(f"_v{i}")
@@ -129,7 +131,7 @@ def collapsed(source: Source, spec: QuerySpec | str, start=None, end=None) -> Da
     source, _, _ = prepare(source, spec, start, end)
     fields = tuple(f for f in source.fields if source.kind(f) in ("double", "long"))
     source = last_write_wins(replace(source, fields=fields))
-    order = [source.nanos(), *[F.col(t) for t in source.tags]]
+    order = [source.nanos(), *[F.col(t) for t in source.tags if t not in spec.group_by]]
     aggs = []
     for i, f in enumerate(fields):
         aggs += [aggregate(spec.method, known(F.col(f)), order).alias(f"_a{i}"), F.count(f).alias(f"_n{i}")]
