@@ -319,6 +319,12 @@ def test_wrapper_without_article_uses_varying_slots(spark):
         assert got[i] == "\n".join(b)
 
 
+def test_articles_inside_misleading_containers(spark):
+    body = "<div class='page header-fixed'><article><header><h2>T</h2></header><p><a href=x>only a link here</a></p><p>text</p></article><aside><article>teaser</article></aside></div>"
+    rows = [(1, "http://m.org/1", page(body))]
+    assert wrapper.digest(spark.createDataFrame(rows, "page_id long, url string, html string")).first().text == "T\nonly a link here\ntext"
+
+
 def test_copies_on_one_host_are_not_template(spark):
     rows = [(i, f"http://c.org/{i}", page("<article><p>the same article text</p></article>")) for i in range(9)]
     assert {r.text for r in wrapper.digest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"the same article text"}

@@ -3,9 +3,9 @@
 Pages of one host are aligned as DOM trees by simple tree matching. The tree
 they share is the wrapper: text that stays the same in a node over many
 differing pages is template; slots whose text varies are content, unless they
-stand in a part that tag, class or role names as boilerplate, or consist mostly
-of links. Where pages have an article or main element, content lies inside it;
-otherwise it is the innermost node that holds most of the varying prose.
+stand in a part that tag, class or role names as boilerplate. Where pages have an article or main element, content lies inside it;
+otherwise it is the innermost node that holds most of the varying prose, without
+blocks that are mostly links.
 
 Each task folds the pages it reads into one wrapper per host; wrappers of a host
 are then merged (the same matching), so no host's pages ever meet in one place.
@@ -49,10 +49,9 @@ SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 SCOPE = frozenset("ul ol dl table tbody thead div section article body nav footer header aside main select".split())
 BOILERPLATE_TAGS = frozenset("nav header footer aside form button select menu dialog head".split())
 BOILERPLATE_WORDS = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer header login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted recommended related respond search share sharing shares sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
+    "ad ads advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification notifications overlay pagination pager paywall popup promo promoted recommended related replies reply respond search share sharing shares sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-MAIN_WORDS = frozenset("article content post entry story main body text".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -66,21 +65,22 @@ class Node:
 
     def __init__(self, tag: str, attributes: str, up: Node | None):
         self.tag, self.up, self.items = tag, up, []
-        self.bad, self.main = tag in BOILERPLATE_TAGS, tag in ("article", "main")
+        # 2: boilerplate by tag or role, 1: by a word of its class or id.
+        self.bad, self.main = 2 * (tag in BOILERPLATE_TAGS), tag in ("article", "main")
         self.label = tag
         if attributes:
             for m in ATTRIBUTE.finditer(attributes):
                 value = (m[2] or m[3] or m[4] or "").lower()
                 words = PARTS.findall(value)
                 if m[1].lower() == "role":
-                    self.bad |= value in BOILERPLATE_ROLES
+                    self.bad = max(self.bad, 2 * (value in BOILERPLATE_ROLES))
                     self.main |= value in ("main", "article")
                 else:
-                    self.bad |= not BOILERPLATE_WORDS.isdisjoint(words) and tag not in ("body", "html", "article", "main")
+                    self.bad = max(self.bad, int(not BOILERPLATE_WORDS.isdisjoint(words) and tag not in ("body", "html", "article", "main")))
                     self.label += "." + "-".join(words)
         # A header inside an article holds its title.
         if tag == "header" and up is not None and any(x.main for x in up.path()):
-            self.bad = False
+            self.bad = 0
 
     def path(self) -> Iterator[Node]:
         x = self
@@ -167,12 +167,19 @@ def parse(page: str) -> Node:
     return root
 
 
+def worst(bad: int, x: Node | Slot) -> int:
+    """Badness below x. An article or main element inside a part that only its
+    class makes look like boilerplate is content after all."""
+    bad = max(bad, x.bad)
+    return 0 if x.main and bad == 1 else bad
+
+
 class Slot:
     """A node of a wrapper: pages seen, its blocks' texts by count, and kids."""
 
     __slots__ = ("label", "n", "texts", "chars", "linked", "kids", "bad", "main")
 
-    def __init__(self, label: str, bad: bool, main: bool):
+    def __init__(self, label: str, bad: int, main: bool):
         self.label, self.bad, self.main = label, bad, main
         self.n = self.chars = self.linked = 0
         self.texts: Counter = Counter()
@@ -293,9 +300,9 @@ class Wrapper:
     def __init__(self, top: Slot):
         self.top = top
         self.differ = max((len(s.texts) for s in self._all(top)), default=0) >= DIFFERENT
-        self.has_main = any(s.main and not bad for s, bad in self._walk(top, False))
+        self.has_main = any(s.main and not bad for s, bad in self._walk(top, 0))
         self.prose = {}
-        self._weigh(top, False)
+        self._weigh(top, 0)
         self.region = None
         if not self.has_main:
             at, total = top, self.prose[id(top)]
@@ -312,8 +319,8 @@ class Wrapper:
         for k in s.kids:
             yield from self._all(k)
 
-    def _walk(self, s: Slot, bad: bool) -> Iterator[tuple[Slot, bool]]:
-        bad |= s.bad
+    def _walk(self, s: Slot, bad: int) -> Iterator[tuple[Slot, int]]:
+        bad = worst(bad, s)
         yield s, bad
         for k in s.kids:
             yield from self._walk(k, bad)
@@ -323,9 +330,9 @@ class Wrapper:
         n = s.texts.get(key(text), 0)
         return self.differ and n >= DIFFERENT and n >= STAYS * s.n
 
-    def _weigh(self, s: Slot, bad: bool) -> int:
+    def _weigh(self, s: Slot, bad: int) -> int:
         """Characters of prose under s: not in boilerplate, not links, not constant."""
-        bad |= s.bad
+        bad = worst(bad, s)
         fixed = self.differ and s.n >= DIFFERENT and len(s.texts) == 1
         own = 0 if bad or fixed or 2 * s.linked > s.chars else s.chars
         self.prose[id(s)] = total = own + sum(self._weigh(k, bad) for k in s.kids)
@@ -333,7 +340,7 @@ class Wrapper:
 
     def extract(self, root: Node) -> str:
         out: list[str] = []
-        self._emit(self.top, [root], False, False, self._pieces([root]), out)
+        self._emit(self.top, [root], 0, False, self._pieces([root]), out)
         return "\n".join(out)
 
     def _pieces(self, nodes: list[Node]) -> dict:
@@ -350,15 +357,15 @@ class Wrapper:
         walk(self.top, nodes)
         return found
 
-    def _emit(self, slot: Slot | None, nodes: list[Node], bad: bool, inside: bool, found: dict, out: list[str]) -> None:
+    def _emit(self, slot: Slot | None, nodes: list[Node], bad: int, inside: bool, found: dict, out: list[str]) -> None:
         for node in nodes:
             s = found.get(id(node))
-            worse = bad or node.bad
+            worse = worst(bad, node)
             within = inside or (node.main if self.has_main else s is self.region and s is not None)
             for x in node.items:
                 if isinstance(x, Node):
                     self._emit(None, [x], worse, within, found, out)
-                elif within and not worse and 2 * x[1] <= len(x[0]) and not (s and self.template(s, x[0])):
+                elif within and not worse and (self.has_main or 2 * x[1] <= len(x[0])) and not (s and self.template(s, x[0])):
                     out.append(x[0])
 
 
@@ -378,7 +385,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if h not in tops and len(tops) >= HOSTS:
                     yield out()
                     tops = {}
-                learn(tops.setdefault(h, Slot("#", False, False)), [parse(page)])
+                learn(tops.setdefault(h, Slot("#", 0, False)), [parse(page)])
     if tops:
         yield out()
 
