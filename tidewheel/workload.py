@@ -10,7 +10,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import catalog, groups, maintenance
+from .operators import anomaly, catalog, groups, maintenance
 from .parse.formula import parse_formula, references
 from .parse.query import parse_query
 from .plans.align import align, interpolate
@@ -399,7 +399,7 @@ def by_user(s, d):
 _BYUSER = f"SELECT user_id, t // {DAY} * {DAY} AS ts, avg(value) AS value FROM {EV} WHERE {RANGE} GROUP BY 1, 2"
 for _fn, _dir in (("topk", "DESC"), ("bottomk", "ASC")):
     add(
-        f"x12_group_{_fn}",
+        f"{'x12' if _fn == 'topk' else 'x13'}_group_{_fn}",
         lambda s, d, fn=_fn: rounded(getattr(groups, fn)(by_user(s, d), ["user_id"], 5)),
         f"WITH x AS ({_BYUSER}), m AS (SELECT user_id FROM x GROUP BY 1 ORDER BY avg(value) {_dir}, user_id LIMIT 5) SELECT user_id, ts, round(value, 6) AS value FROM x SEMI JOIN m USING (user_id)",
     )
@@ -539,3 +539,74 @@ add(
     lambda s, d: rounded(subscribe.carried({k: numeric(events(s, d), f"sum:events(value){{event_type:{t},user_id:~1.*}}", START, END, "1h").select("ts", "value") for k, t in (("a", "click"), ("b", "purchase"))}, "a - b", "1h")),
 )
 
+
+# The remaining rows of the inventory that are plans of their own.
+def _arrays(s, d):
+    """One array write per series and day, parsed back to points."""
+    e = events(s, d).df.where("value IS NOT NULL")
+    ns = (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("t")
+    by = e.groupBy("event_type", "user_id", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct(ns, "value"))).alias("p"))
+    body = F.to_json(
+        F.struct(
+            F.lit("events").alias("measurement"),
+            F.struct("event_type", F.col("user_id").cast("string").alias("user_id")).alias("tags"),
+            F.struct(F.col("p.value").alias("value")).alias("fields"),
+            F.col("p.t").alias("timestamps"),
+        )
+    )
+    got, _ = writes.parse(by.select(body.alias("body")), now=0)
+    return got.select(F.col("tags")["event_type"].alias("event_type"), F.col("tags")["user_id"].alias("user_id"), "ts", F.round("v", 6).alias("v"))
+
+
+add("s02_array_writes", _arrays, f"SELECT event_type, user_id::VARCHAR AS user_id, t AS ts, round(value, 6) AS v FROM {EV} WHERE value IS NOT NULL")
+
+
+def _failures(s, d):
+    """Batches of two writes, of which the one for errors has no measurement."""
+    e = events(s, d).df.where("value IS NOT NULL")
+    name = F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type"))
+    entry = F.struct(name.alias("measurement"), F.struct(F.col("value").alias("v")).alias("fields"), F.col("event_id").alias("timestamp"))
+    extra = F.struct(F.lit("all").alias("measurement"), F.struct(F.col("value").alias("v")).alias("fields"), F.col("event_id").alias("timestamp"))
+    good, bad = writes.parse(e.select(F.to_json(F.struct(F.array(entry, extra).alias("writes"))).alias("body")), now=0)
+    return good.groupBy("measurement").agg(F.count("*").alias("n")).unionAll(bad.agg(F.lit("failed"), F.count("*")))
+
+
+add("s03_batch_writes", _failures, "SELECT event_type AS measurement, count(*) AS n FROM events WHERE value IS NOT NULL AND event_type <> 'error' GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM events WHERE value IS NOT NULL UNION ALL SELECT 'failed', count(*) FROM events WHERE value IS NOT NULL AND event_type = 'error'")
+
+
+def _bound(s, d):
+    """Integers written to a field that began as a float, or as a boolean."""
+    e = events(s, d).df
+    body = F.to_json(F.struct(F.lit("m").alias("measurement"), F.struct(F.col("user_id").alias("f"), (F.col("user_id") % 2).alias("b")).alias("fields"), F.col("event_id").alias("timestamp")))
+    types = s.createDataFrame([("m", "f", "double"), ("m", "b", "boolean")], "measurement string, field string, type string")
+    good, _ = writes.parse(e.select(body.alias("body")), now=0, bound=types)
+    return good.groupBy("ts").agg(F.max("v").alias("f"), F.max("b").alias("b"))
+
+
+add("s07_type_binding", _bound, "SELECT event_id AS ts, CAST(user_id AS DOUBLE) AS f, user_id % 2 = 1 AS b FROM events")
+add(
+    "d04_series_by_id",
+    lambda s, d: catalog.series_by_id(events(s, d), s.range(1).select(F.xxhash64(F.lit("events,event_type=click,user_id=7 value"))).first()[0]).select("event_type", "user_id", "field", "series_key"),
+    "SELECT DISTINCT event_type, user_id, 'value' AS field, 'events,event_type=click,user_id=7 value' AS series_key FROM events WHERE event_type = 'click' AND user_id = 7 AND value IS NOT NULL",
+)
+add(
+    "l01_raw_subscription",
+    lambda s, d: subscribe.raw(events(s, d), "latest:events(value){event_type:~c.*}").drop("text"),
+    f"SELECT event_type, user_id, 'value' AS field, t AS ts, value FROM {EV} WHERE event_type LIKE 'c%' AND value IS NOT NULL",
+)
+add(
+    "l06_formula_of_one_query",
+    lambda s, d: rounded(subscribe.batches(subscribe.tumbling(events(s, d), "sum:events(value)", "1h"), "abs(diff(a)) + 1", ["event_type", "user_id"])),
+    f"""WITH x AS (SELECT event_type, user_id, t // {HOUR} * {HOUR} AS ts, sum(value) AS a FROM {EV} WHERE value IS NOT NULL GROUP BY ALL)
+    SELECT event_type, user_id, 'value' AS field, ts, round(abs(a - lag(a) OVER (PARTITION BY event_type, user_id ORDER BY ts)) + 1, 6) AS value FROM x""",
+)
+add(
+    "n05_alert_by_type",
+    lambda s, d: rounded(anomaly.alert(derive_by({"events": events(s, d)}, DerivedQuery().query("a", "avg:events(value)").formula("anomalies(a, 'basic', 2)").between(START, END).every("1h"), ["event_type"]), ["event_type"]), "alert"),
+    f"""WITH x AS (SELECT event_type, t // {HOUR} * {HOUR} AS ts, avg(value) AS v FROM {EV} WHERE {RANGE} GROUP BY 1, 2),
+    m AS (SELECT event_type, v, row_number() OVER k - 1 AS i, avg(v) OVER p AS mean, stddev_samp(v) OVER p AS dev FROM x
+      WINDOW k AS (PARTITION BY event_type ORDER BY ts), p AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
+    b AS (SELECT event_type, i, v, mean, greatest(dev, abs(mean) * 0.01) AS s FROM m)
+    SELECT event_type, round(max(CASE WHEN i < 10 THEN 0 ELSE greatest(v - (mean + 2 * s), 0) + greatest(mean - 2 * s - v, 0) END), 6) AS alert FROM b GROUP BY 1""",
+)
+add("n06_anomaly_pieces", lambda s, d: anomaly.pieces(one(s, d, "anomalies(a, 'basic', 2)")))
