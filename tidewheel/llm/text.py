@@ -130,8 +130,9 @@ def words_of(texts: pa.Array, separators: np.ndarray) -> Words:
     bytes_, words = 0, 0
     firsts, starts, ends = [np.zeros(1, np.int64)], [], []
     for p in parts:
-        starts.append(p.start + bytes_)
-        ends.append(p.end + bytes_)
+        kind = np.int32 if bytes_ + len(p.data) < 2**31 else np.int64
+        starts.append((p.start + bytes_).astype(kind))
+        ends.append((p.end + bytes_).astype(kind))
         firsts.append(p.first[1:] + words)
         bytes_ += len(p.data)
         words += len(p.h)

@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from .text import PUNCT, slices, words_of
 
 WINDOW, STRIDE, PIECE = 32, 16, 32
-SAMPLE, MAX_CHARS = 2500, 200_000
+SAMPLE, MAX_CHARS = 2500, 20_000
 CHAR_DIM, CHAR_HIDDEN, WORD_DIM, HIDDEN, VOCABULARY = 8, 16, 8, 12, 1 << 16
-ROUNDS, STEPS, BATCH, RATE, DROP, SEED = 3, 180, 96, 0.01, 0.3, 11
+ROUNDS, STEPS, BATCH, RATE, DROP, SEED = 3, 180, 96, 0.01, 0.5, 11
 HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), {m}) = {r}"
 
 
@@ -161,7 +161,7 @@ class Vocabulary:
         self.row = (self.hash >> np.uint64(48)).astype(np.int64)
         t = np.arange(int(self.size[0]) if len(u) else 0)
         inside = t[:, None] < self.size[None, :]
-        where = np.where(inside, start[at][order][None, :] + t[:, None], 0)
+        where = np.where(inside, start[at][order].astype(np.int32)[None, :] + t[:, None].astype(np.int32), np.int32(0))
         self.bytes = w.data[where] if len(u) else np.zeros((0, 0), np.uint8)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
