@@ -398,6 +398,26 @@ def test_line_dedup(spark):
     assert linededup.keep(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_finds_edited_and_short_lines(spark):
+    """Against edit similarity alone, however far apart the SimHashes are."""
+    rng = random.Random(8)
+    texts, want = [], set()
+    for n in (8, 10, 12, 20, 50, 100):
+        for _ in range(20):
+            w = prose(rng, n, 10**6).split(" ")
+            texts.append(" ".join(w))
+            v = list(w)
+            v[rng.randrange(n)] = rng.choice(w)
+            texts.append(" ".join(v))
+            if linededup.similar(*texts[-2:]):
+                want.add(len(texts) - 1)
+    texts += ["see below", "other words", "See  below!", "fin", "fin"]
+    got = {r.doc_id for r in linededup.digest(docs(spark, texts)).collect() if r.n_removed}
+    short = {len(texts) - 3, len(texts) - 1}
+    assert short <= got <= want | short and len(want) > 100
+    assert len(got & want) >= 0.98 * len(want)
+
+
 # 5
 
 
