@@ -330,6 +330,20 @@ def test_copies_on_one_host_are_not_template(spark):
     assert {r.text for r in wrapper.digest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"the same article text"}
 
 
+def test_main_is_decided_by_page(spark):
+    """One article on a host takes nothing from its other pages, nor does a smaller region."""
+    rng = random.Random(9)
+    rows = [(0, "http://d.org/0", page("<article><p>the only article</p></article>"))]
+    bodies = [[prose(rng, 60), prose(rng, 12)] for _ in range(8)]
+    rows += [(i, f"http://d.org/{i}", page(f"<div class=wrap><div class=c1><p>{a}</p></div></div><div class=c2><p>{b}</p></div>")) for i, (a, b) in enumerate(bodies, 1)]
+    rows += [(20, None, page("<article><p>no address</p></article>")), (21, "x.org/1", page("<div><p>plain page</p></div>")), (22, "http://e.org/", page("<article></article><div><p>beside it</p></div>"))]
+    got = {r.page_id: r.text for r in wrapper.digest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "the only article"
+    for i, b in enumerate(bodies, 1):
+        assert got[i] == "\n".join(b)
+    assert (got[20], got[21], got[22]) == ("no address", "plain page", "beside it")
+
+
 def test_simple_tree_matching():
     f = lambda t: wrapper.simple_tree_matching(t[0], t[1], lambda x: x[0], lambda x: x[0], lambda x: x[1], lambda x: x[1])
     a = [("p", []), ("div", [("b", [])]), ("p", [])]

@@ -3,9 +3,9 @@
 Pages of one host are aligned as DOM trees by simple tree matching. The tree
 they share is the wrapper: text that stays the same in a node over many
 differing pages is template; slots whose text varies are content, unless they
-stand in a part that tag, class or role names as boilerplate. Where pages have an article or main element, content lies inside it;
-otherwise it is the innermost node that holds most of the varying prose, without
-blocks that are mostly links.
+stand in a part that tag, class or role names as boilerplate. Where a page has an
+article or main element, its content lies inside it; otherwise it is all of the
+page's own varying text, without blocks that are mostly links.
 
 Each task folds the pages it reads into one wrapper per host; wrappers of a host
 are then merged (the same matching), so no host's pages ever meet in one place.
@@ -174,6 +174,18 @@ def worst(bad: int, x: Node | Slot) -> int:
     return 0 if x.main and bad == 1 else bad
 
 
+def has_main(x: Node, bad: int) -> bool:
+    """Whether an article or main element with text stands outside boilerplate."""
+    bad = worst(bad, x)
+    return (x.main and not bad and has_text(x, bad)) or any(has_main(k, bad) for k in x.kids())
+
+
+def has_text(x: Node, bad: int) -> bool:
+    """Whether x has text outside boilerplate."""
+    bad = worst(bad, x)
+    return any(has_text(k, bad) if isinstance(k, Node) else not bad for k in x.items)
+
+
 class Slot:
     """A node of a wrapper: pages seen, its blocks' texts by count, and kids."""
 
@@ -300,47 +312,21 @@ class Wrapper:
     def __init__(self, top: Slot):
         self.top = top
         self.differ = max((len(s.texts) for s in self._all(top)), default=0) >= DIFFERENT
-        self.has_main = any(s.main and not bad for s, bad in self._walk(top, 0))
-        self.prose = {}
-        self._weigh(top, 0)
-        self.region = None
-        if not self.has_main:
-            at, total = top, self.prose[id(top)]
-            while total:
-                kid = max(at.kids, key=lambda k: self.prose[id(k)], default=None)
-                # Down to the last node that holds most of it, though not into a single paragraph.
-                if kid is None or self.prose[id(kid)] < 0.7 * total or not kid.kids:
-                    break
-                at = kid
-            self.region = at
 
     def _all(self, s: Slot) -> Iterator[Slot]:
         yield s
         for k in s.kids:
             yield from self._all(k)
 
-    def _walk(self, s: Slot, bad: int) -> Iterator[tuple[Slot, int]]:
-        bad = worst(bad, s)
-        yield s, bad
-        for k in s.kids:
-            yield from self._walk(k, bad)
-
     def template(self, s: Slot, text: str) -> bool:
         """Whether this text of the slot is part of the wrapper."""
         n = s.texts.get(key(text), 0)
         return self.differ and n >= DIFFERENT and n >= STAYS * s.n
 
-    def _weigh(self, s: Slot, bad: int) -> int:
-        """Characters of prose under s: not in boilerplate, not links, not constant."""
-        bad = worst(bad, s)
-        fixed = self.differ and s.n >= DIFFERENT and len(s.texts) == 1
-        own = 0 if bad or fixed or 2 * s.linked > s.chars else s.chars
-        self.prose[id(s)] = total = own + sum(self._weigh(k, bad) for k in s.kids)
-        return total
-
     def extract(self, root: Node) -> str:
         out: list[str] = []
-        self._emit(self.top, [root], 0, False, self._pieces([root]), out)
+        main = has_main(root, 0)
+        self._emit([root], 0, not main, main, self._pieces([root]), out)
         return "\n".join(out)
 
     def _pieces(self, nodes: list[Node]) -> dict:
@@ -357,15 +343,15 @@ class Wrapper:
         walk(self.top, nodes)
         return found
 
-    def _emit(self, slot: Slot | None, nodes: list[Node], bad: int, inside: bool, found: dict, out: list[str]) -> None:
+    def _emit(self, nodes: list[Node], bad: int, inside: bool, main: bool, found: dict, out: list[str]) -> None:
         for node in nodes:
             s = found.get(id(node))
             worse = worst(bad, node)
-            within = inside or (node.main if self.has_main else s is self.region and s is not None)
+            within = inside or node.main
             for x in node.items:
                 if isinstance(x, Node):
-                    self._emit(None, [x], worse, within, found, out)
-                elif within and not worse and (self.has_main or 2 * x[1] <= len(x[0])) and not (s and self.template(s, x[0])):
+                    self._emit([x], worse, within, main, found, out)
+                elif within and not worse and (main or 2 * x[1] <= len(x[0])) and not (s and self.template(s, x[0])):
                     out.append(x[0])
 
 
