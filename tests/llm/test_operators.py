@@ -126,6 +126,16 @@ def test_tree_bound_never_loses_a_pair():
                     assert f.root(i) == f.root(j)
 
 
+def test_tree_bound_over_kids_of_different_widths():
+    rng = np.random.default_rng(4)
+    b = np.unique(rng.integers(0, 2**62, 2060).astype(np.uint64))
+    sets = [np.unique(rng.integers(0, 2**62, n).astype(np.uint64)) for n in (200, 500, 1000) for _ in range(16)]
+    sets += [np.unique(rng.integers(0, 2**62, 2000).astype(np.uint64)) for _ in range(15)] + [b[:2000], b]
+    f = graph.Forest(len(sets))
+    sigtree.SignatureTree(np.array([len(s) for s in sets]), [np.frombuffer(sigtree.bitmap(s, 1), np.uint64) for s in sets], 90).traverse(f)
+    assert f.root(len(sets) - 2) == f.root(len(sets) - 1)
+
+
 def test_keep_one_and_null_ids(spark):
     d = docs(spark, ["a b c d e f g", "a b c d e f g", "", "", "z y x", None], [5, 3, 7, 8, None, 9]).withColumnRenamed("lang", "n_shingles")
     rows = sigtree.keep_one(d).collect()

@@ -134,7 +134,9 @@ class SignatureTree:
         if len(kids) == 1:
             return kids[0]
         width = min(len(k.bits) for k in kids)
-        return Node(np.concatenate([k.rows for k in kids]), kids, min(k.lo for k in kids), max(k.hi for k in kids), max(k.slack for k in kids), np.bitwise_or.reduce([fold(k.bits, width) for k in kids]))
+        # Slack was measured at a kid's own width; folded further, only its size bounds.
+        slack = max(k.slack if len(k.bits) == width else k.hi for k in kids)
+        return Node(np.concatenate([k.rows for k in kids]), kids, min(k.lo for k in kids), max(k.hi for k in kids), slack, np.bitwise_or.reduce([fold(k.bits, width) for k in kids]))
 
     def possible(self, x: Node, y: Node) -> bool:
         p = self.percent
