@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,11 +14,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; one of our own only where the session names none."""
+    """The folder all executors see. Where the session names none, a temporary one
+    serves a single machine, and a cluster is an error: its disks aren't shared."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not there:
         has = sc._jsc.sc().getCheckpointDir()
+        if not has.isDefined() and not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         there = has.get() if has.isDefined() else tempfile.mkdtemp(prefix="tidewheel-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(there)
@@ -39,9 +43,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): each is
     one partial aggregation and one equi-join, so a hub of any degree is split
-    by adaptive skew joins and nothing is gathered in one place.
+    by adaptive skew joins and nothing is gathered in one place. Stars that no
+    other edge touches are final; only the rest goes through another round.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    final = None
     while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -49,12 +55,20 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         e = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        # A forest of stars, one edge for each u and no v that is a u, is final.
-        n, one = e.agg(F.count("*"), F.count_distinct("u")).first()
-        if n == one and e.select(F.col("v").alias("u")).distinct().join(e, "u", "left_semi").isEmpty():
+        # A centre is open if it is a leaf itself, or if one of its leaves is a centre or has another one.
+        leaves = e.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("v"))
+        if (more := leaves.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first())[0] == more[1] and e.select(F.col("v").alias("u")).distinct().join(leaves, "u", "left_semi").isEmpty():
+            final = e if final is None else final.unionAll(e)
             break
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(
-        e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+        shared = e.join(leaves.where("n > 1").select("u"), "u", "left_semi").select("v")
+        both = e.join(e.select(F.col("v").alias("u")), "u", "left_semi").selectExpr("explode(array(u, v)) AS v")
+        open_ = shared.unionAll(both).distinct().withColumn("open", F.lit(True))
+        marked = cut(e.join(open_, "v", "left").select("u", "v", "open"))
+        done = marked.where("open IS NULL").select("u", "v")
+        final = done if final is None else final.unionAll(done)
+        e = marked.where("open").select("u", "v")
+    return final.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(
+        final.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
 
 
@@ -133,6 +147,32 @@ def by_table(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.RecordB
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of batches sorted by keys, dealt anew so that no group is split."""
+    held: list[pa.RecordBatch] = []
+
+    def last_of(batch: pa.RecordBatch) -> tuple:
+        return tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in keys)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tail = last_of(batch)
+        same = np.ones(batch.num_rows, bool)
+        for k, v in zip(keys, tail, strict=True):
+            same &= batch.column(k).to_numpy(zero_copy_only=False) == v
+        cut = int(np.argmax(same))  # where the last group begins
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        elif held and last_of(held[-1]) != tail:
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def by_group(df: DataFrame, keys: list[str], columns: list[str], fn: Callable[..., tuple | None], least: int = 1) -> DataFrame:
     """(a, b): what fn(*columns) gives for the rows of each distinct key, for very
     many small groups: a batch's columns are converted once, groups are slices
@@ -213,25 +253,27 @@ def run_dir(spark: SparkSession) -> str:
 
 
 class Bloom:
-    """A fixed-size filter of 64-bit hash ids, built on the executors; what
-    reaches the driver is its BITS / 8 bytes, whatever the number of ids. Beyond
-    its capacity it only lets more rows through to the join that follows."""
+    """A filter of 64-bit hash ids, built on the executors: ten bits or more for
+    each id, up to MOST (16 MB, what reaches the driver and is broadcast at the
+    most). Beyond that it only lets more rows through to the join that follows."""
 
-    BITS = 1 << 25
+    MOST = 1 << 27
+    SHIFTS = (0, 18, 37)
 
     def __init__(self, ids: DataFrame, column: str):
+        self.bits = min(self.MOST, max(1 << 16, 1 << (10 * ids.count()).bit_length()))
         # The ids are hashes: their own bits serve as the filter's.
-        spots = F.array(*[F.shiftrightunsigned(F.col(column), s).bitwiseAND(F.lit(self.BITS - 1)) for s in (0, 20, 39)])
+        spots = F.array(*[F.shiftrightunsigned(F.col(column), s).bitwiseAND(F.lit(self.bits - 1)) for s in self.SHIFTS])
         bit = ids.select(F.explode(spots).alias("b"))
         words = bit.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(b & 63))")).alias("x")).toArrow()
-        table = np.zeros(self.BITS >> 6, np.uint64)
+        table = np.zeros(self.bits >> 6, np.uint64)
         table[words.column("w").to_numpy()] = words.column("x").to_numpy().view(np.uint64)
         self.table = ids.sparkSession.sparkContext.broadcast(table)
 
     def may_hold(self, ids: np.ndarray) -> np.ndarray:
         table, h = self.table.value, ids.view(np.uint64)
         ok = np.ones(len(h), bool)
-        for s in (0, 20, 39):
-            b = (h >> np.uint64(s)) & np.uint64(self.BITS - 1)
+        for s in self.SHIFTS:
+            b = (h >> np.uint64(s)) & np.uint64(self.bits - 1)
             ok &= (table[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) > 0
         return ok
