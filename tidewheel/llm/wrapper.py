@@ -7,14 +7,20 @@ stand in a part that tag, class or role names as boilerplate. Where a page has a
 article or main element, its content lies inside it; otherwise it is all of the
 page's own varying text, without blocks that are mostly links.
 
-Each task folds the pages it reads into one wrapper per host; wrappers of a host
-are then merged (the same matching), so no host's pages ever meet in one place.
-For extraction, pages are joined with their host's wrapper under a salted key.
+Each task folds the pages it reads into one tree of labels per host and gives
+each block of text its slot there. A host's trees are merged in two rounds (the
+same matching), each task's tree is aligned with the merged one, and the texts of
+a slot are then counted as DataFrame aggregations over all pages. Pages with
+equal bodies count once, so copies of one page are no template. For extraction a
+task reads a host's wrapper once, before that host's pages; hosts with more than
+HOT bytes are dealt to several tasks by a salt.
 
 Edge cases: a null or empty html gives empty text; a host with too few differing
 pages has no template text and is judged by structure alone; broken markup is
-read as browsers do (unclosed elements end with their parent); a null url is a
-host of its own; repeated pages each get a row.
+read as browsers do (unclosed elements end with their parent, unclosed comments
+and scripts at the end of the page); elements nested deeper than DEPTH count as
+part of the one at that depth; pages whose url is null or names no host share one
+wrapper; repeated pages each get a row; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,23 +28,25 @@ from __future__ import annotations
 import html as entities
 import pickle
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from . import graph
 
 #: Pages that must differ before text that stays is template, and the share of pages it must be in.
 DIFFERENT, STAYS = 5, 0.5
-#: Distinct block texts counted per slot; the rarest leave first.
-KEPT = 48
-SALTS = 32
-#: Wrappers a task holds before it passes them on.
-HOSTS = 500
+#: Hosts whose trees a task holds before it passes them on; blocks of text in a batch.
+HOSTS, FACTS = 500, 20_000
+#: Bytes of a host's pages that one task extracts, and tasks of the first round of merging.
+HOT, ROUND = 32 << 20, 64
+DEPTH, LONG_TAG = 128, 8192
 
 # HTML's own vocabulary.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,18 +61,24 @@ BOILERPLATE_WORDS = frozenset(
 )
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+TEXT = re.compile(r"[^<]+")
+SKIPPED = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+#: A value opens a quotation only after its equals sign. Possessive: no backtracking.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>")
+SIMPLE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+ATTRIBUTE = re.compile(r"\b(class|id|role)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PARTS = re.compile(r"[a-z]+")
+END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in RAW}
 
 
 class Node:
     """A block element: items are its kids and its runs of inline text, in page order."""
 
-    __slots__ = ("tag", "label", "plain", "items", "up", "bad", "main")
+    __slots__ = ("tag", "label", "items", "up", "depth", "bad", "main", "inside")
 
     def __init__(self, tag: str, attributes: str, up: Node | None):
         self.tag, self.up, self.items = tag, up, []
+        self.depth = up.depth + 1 if up else 0
         # 2: boilerplate by tag or role, 1: by a word of its class or id.
         self.bad, self.main = 2 * (tag in BOILERPLATE_TAGS), tag in ("article", "main")
         self.label = tag
@@ -78,281 +92,285 @@ class Node:
                 else:
                     self.bad = max(self.bad, int(not BOILERPLATE_WORDS.isdisjoint(words) and tag not in ("body", "html", "article", "main")))
                     self.label += "." + "-".join(words)
+        self.inside = self.main or (up is not None and up.inside)
         # A header inside an article holds its title.
-        if tag == "header" and up is not None and any(x.main for x in up.path()):
+        if tag == "header" and up is not None and up.inside:
             self.bad = 0
 
-    def path(self) -> Iterator[Node]:
-        x = self
-        while x is not None:
-            yield x
-            x = x.up
 
-    def kids(self) -> list[Node]:
-        return [x for x in self.items if isinstance(x, Node)]
+class Parser:
+    """One pass over a page, in time that grows with its length: a tag that is not
+    closed within LONG_TAG characters ends at the first > instead."""
 
+    def __init__(self, page: str):
+        self.page = page
+        self.root = self.at = Node("#", "", None)
+        self.run: list[str] = []
+        self.links = self.linked = 0
+        #: Open elements below DEPTH, which have no node.
+        self.deep: list[str] = []
+        self.n_deep: Counter = Counter()
+        self.read()
 
-def parse(page: str) -> Node:
-    root = at = Node("#", "", None)
-    links = 0
-    run: list[str] = []
-    linked = 0
-
-    def close() -> None:
-        nonlocal linked
-        if run:
-            text = " ".join(entities.unescape("".join(run)).split())
+    def close(self) -> None:
+        if self.run:
+            text = " ".join(entities.unescape("".join(self.run)).split())
             if text:
-                at.items.append((text, min(len(text), linked)))
-            run.clear()
-        linked = 0
-
-    skip = 0
-    for m in TOKEN.finditer(page):
-        if m.start() < skip:
-            continue
-        text = m[4]
-        if text is not None:
-            run.append(text)
-            if links:
-                linked += len(text)
-            continue
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag == "a":
-                links = max(0, links - 1)
-            if tag in INLINE:
+                self.at.items.append((text, min(len(text), self.linked)))
+            self.run.clear()
+        self.linked = 0
+
+    def text(self, text: str) -> None:
+        self.run.append(text)
+        if self.links:
+            self.linked += len(text)
+
+    def read(self) -> None:
+        page, pos, last = self.page, 0, self.page.rfind(">")
+        while pos < len(page):
+            if page[pos] != "<":
+                m = TEXT.match(page, pos)
+                self.text(m[0])
+            elif m := SKIPPED.match(page, pos):
+                pass
+            elif pos < last and (m := TAG.match(page, pos, pos + LONG_TAG) or SIMPLE_TAG.match(page, pos)):
+                tag = m[2].lower()
+                if m[1]:
+                    self.end(tag)
+                elif tag in RAW:
+                    self.run.append(" ")
+                    if not m[3].endswith("/") or tag != "svg":
+                        stop = END[tag].search(page, m.end())
+                        pos = stop.end() if stop else len(page)
+                        continue
+                else:
+                    self.start(tag, m[3])
+            else:
+                self.text("<")
+                pos += 1
                 continue
-            x = at
-            while x is not root and x.tag != tag:
-                x = x.up
-            if x is not root:
-                close()
-                at, links = x.up, 0
-            elif tag == "p":
-                close()
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, m.end())
-            skip = end.end() if end else len(page)
-            run.append(" ")
-            continue
+            pos = m.end()
+        self.close()
+
+    def end(self, tag: str) -> None:
+        if tag == "a":
+            self.links = max(0, self.links - 1)
+        if tag in INLINE:
+            return
+        if self.n_deep[tag]:
+            self.close()
+            while (gone := self.deep.pop()) != tag:
+                self.n_deep[gone] -= 1
+            self.n_deep[tag] -= 1
+            return
+        x = self.at
+        while x is not self.root and x.tag != tag:
+            x = x.up
+        if x is not self.root:
+            self.close()
+            self.at, self.links = x.up, 0
+            self.deep.clear()
+            self.n_deep.clear()
+        elif tag == "p":
+            self.close()
+
+    def start(self, tag: str, attributes: str) -> None:
         if tag in INLINE:
             if tag == "a":
-                links = 1
-            elif tag in ("br", "wbr", "img", "input"):
-                run.append(" " if tag != "wbr" else "")
-            continue
-        close()
-        links = 0
+                self.links = 1
+            elif tag in ("br", "img", "input"):
+                self.run.append(" ")
+            return
+        self.close()
+        self.links = 0
         if tag in CLOSES_P:
-            x = at
-            while x is not root and x.tag != "p" and x.tag not in SCOPE:
-                x = x.up
-            if x.tag == "p":
-                at = x.up
+            self.implied("p")
         for same in SAME.get(tag, ()):
-            x = at
-            while x is not root and x.tag != same and x.tag not in SCOPE:
-                x = x.up
-            if x.tag == same:
-                at = x.up
-        node = Node(tag, m[3], at)
-        at.items.append(node)
-        if tag not in VOID and not m[3].endswith("/"):
-            at = node
-    close()
-    return root
-
-
-def worst(bad: int, x: Node | Slot) -> int:
+            self.implied(same)
+        if self.at.depth >= DEPTH:
+            if tag not in VOID and not attributes.endswith("/"):
+                self.deep.append(tag)
+                self.n_deep[tag] += 1
+            return
+        node = Node(tag, attributes, self.at)
+        self.at.items.append(node)
+        if tag not in VOID and not attributes.endswith("/"):
+            self.at = node
+
+    def implied(self, tag: str) -> None:
+        """Ends an open element that the next tag can't stand in."""
+        x = self.at
+        while x is not self.root and x.tag != tag and x.tag not in SCOPE:
+            x = x.up
+        if x.tag == tag:
+            self.at = x.up
+            self.deep.clear()
+            self.n_deep.clear()
+
+
+def parse(page: str) -> Node:
+    return Parser(page).root
+
+
+def worst(bad: int, x: Node) -> int:
     """Badness below x. An article or main element inside a part that only its
     class makes look like boilerplate is content after all."""
     bad = max(bad, x.bad)
     return 0 if x.main and bad == 1 else bad
 
 
-def has_main(x: Node, bad: int) -> bool:
-    """Whether an article or main element with text stands outside boilerplate."""
-    bad = worst(bad, x)
-    return (x.main and not bad and has_text(x, bad)) or any(has_main(k, bad) for k in x.kids())
+def walk(root: Node) -> Iterator[tuple[Node, int, bool]]:
+    """Every node, its badness, and whether it stands in an article or main element."""
+    stack = [(root, 0, False)]
+    while stack:
+        x, bad, inside = stack.pop()
+        bad, inside = worst(bad, x), inside or x.main
+        yield x, bad, inside
+        stack += [(k, bad, inside) for k in reversed(x.items) if isinstance(k, Node)]
 
 
-def has_text(x: Node, bad: int) -> bool:
-    """Whether x has text outside boilerplate."""
-    bad = worst(bad, x)
-    return any(has_text(k, bad) if isinstance(k, Node) else not bad for k in x.items)
+def key(text: str) -> int:
+    h = xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
 
 
 class Slot:
-    """A node of a wrapper: pages seen, its blocks' texts by count, and kids."""
-
-    __slots__ = ("label", "n", "texts", "chars", "linked", "kids", "bad", "main")
-
-    def __init__(self, label: str, bad: int, main: bool):
-        self.label, self.bad, self.main = label, bad, main
-        self.n = self.chars = self.linked = 0
-        self.texts: Counter = Counter()
-        self.kids: list[Slot] = []
-
-    def __reduce__(self):
-        return _slot, (self.label, self.bad, self.main, self.n, self.chars, self.linked, dict(self.texts), self.kids)
-
-    def count(self, texts: dict) -> None:
-        self.texts.update(texts)
-        if len(self.texts) > 2 * KEPT:
-            self.texts = Counter(dict(sorted(self.texts.items(), key=lambda x: (-x[1], x[0]))[:KEPT]))
-
+    """A node of a wrapper; of a page, the kids of its nodes that share a label."""
 
-def _slot(label, bad, main, n, chars, linked, texts, kids) -> Slot:
-    s = Slot(label, bad, main)
-    s.n, s.chars, s.linked, s.texts, s.kids = n, chars, linked, Counter(texts), kids
-    return s
+    __slots__ = ("label", "kids", "num", "nodes")
 
+    def __init__(self, label: str, kids: list[Slot] | None = None, num: int = 0, nodes: list[Node] | None = None):
+        self.label, self.kids, self.num, self.nodes = label, kids or [], num, nodes
 
-def grouped(nodes: list[Node]) -> list[list[Node]]:
-    """Kids of nodes that stand for one slot; runs of equal labels are one group."""
-    out: list[list[Node]] = []
-    for node in nodes:
-        for k in node.kids():
-            if out and out[-1][0].label == k.label:
-                out[-1].append(k)
-            else:
-                out.append([k])
-    if len(nodes) > 1:  # several pieces of one kind: their kids line up by label
-        by: dict[str, list[Node]] = {}
-        for g in out:
-            by.setdefault(g[0].label, []).extend(g)
-        out = list(by.values())
-    return out
-
-
-def simple_tree_matching(a: list, b: list, label_a, label_b, kids_a, kids_b) -> tuple[int, list[tuple[int, int]]]:
-    """The largest number of matched nodes of two ordered forests, and which roots match."""
-    if [label_a(x) for x in a] == [label_b(y) for y in b]:
-        return len(a), [(i, i) for i in range(len(a))]
+    def all(self) -> Iterator[Slot]:
+        stack = [self]
+        while stack:
+            x = stack.pop()
+            yield x
+            stack += reversed(x.kids)
+
+    def packed(self) -> bytes:
+        def plain(s: Slot) -> tuple:
+            return s.label, s.num, [plain(k) for k in s.kids]
+
+        return pickle.dumps(plain(self), 5)
+
+
+def unpacked(blob: bytes) -> Slot:
+    def build(label: str, num: int, kids: list) -> Slot:
+        return Slot(label, [build(*k) for k in kids], num)
+
+    return build(*pickle.loads(blob))
+
+
+def page_tree(root: Node) -> Slot:
+    """A page as slots: kids of one label, of all the nodes of a slot, make up one."""
+    top = Slot(root.label, nodes=[root])
+    todo = [top]
+    while todo:
+        s = todo.pop()
+        by: dict[str, Slot] = {}
+        for node in s.nodes:
+            for k in node.items:
+                if isinstance(k, Node):
+                    if k.label not in by:
+                        by[k.label] = Slot(k.label, nodes=[])
+                    by[k.label].nodes.append(k)
+        s.kids = list(by.values())
+        todo += s.kids
+    return top
+
+
+def simple_tree_matching(a: list[Slot], b: list[Slot]) -> tuple[int, list[tuple[Slot, Slot, list]]]:
+    """The largest number of matched nodes of two ordered forests, and the matched
+    roots, each with the matching of its kids."""
+    names = [x.label for x in a]
+    if names == [y.label for y in b] and len(set(names)) == len(names):
+        pairs = [(x, y, *simple_tree_matching(x.kids, y.kids)) for x, y in zip(a, b, strict=True)]
+        return len(a) + sum(p[2] for p in pairs), [(x, y, sub) for x, y, _, sub in pairs]
+    below = {(i, j): simple_tree_matching(x.kids, y.kids) for i, x in enumerate(a) for j, y in enumerate(b) if x.label == y.label}
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    took = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i, x in enumerate(a, 1):
-        for j, y in enumerate(b, 1):
-            w = 0
-            if label_a(x) == label_b(y):
-                w = 1 + simple_tree_matching(kids_a(x), kids_b(y), label_a, label_b, kids_a, kids_b)[0]
-            best[i][j], took[i][j] = max((best[i - 1][j], 1), (best[i][j - 1], 2), (best[i - 1][j - 1] + w if w else -1, 3))
+    for i in range(len(a)):
+        for j in range(len(b)):
+            w = best[i][j] + 1 + below[i, j][0] if (i, j) in below else 0
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], w)
     i, j, pairs = len(a), len(b), []
     while i and j:
-        if took[i][j] == 3:
-            i, j = i - 1, j - 1
-            pairs.append((i, j))
-        elif took[i][j] == 1:
+        if best[i][j] == best[i - 1][j]:
             i -= 1
-        else:
+        elif best[i][j] == best[i][j - 1]:
             j -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs.append((a[i], b[j], below[i, j][1]))
     return best[-1][-1], pairs[::-1]
 
 
-def match_page(slot: Slot, groups: list[list[Node]]) -> list[tuple[int, int]]:
-    return simple_tree_matching(slot.kids, groups, lambda s: s.label, lambda g: g[0].label, lambda s: s.kids, grouped)[1]
-
-
-def key(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass")) | len(text) << 32
-
-
-def learn(slot: Slot, nodes: list[Node]) -> None:
-    """Folds a page's nodes for this slot into it."""
-    slot.n += 1
-    seen = set()
-    for node in nodes:
-        for x in node.items:
-            if isinstance(x, tuple):
-                seen.add(key(x[0]))
-                slot.chars += len(x[0])
-                slot.linked += x[1]
-    slot.count(dict.fromkeys(seen, 1))
-    groups = grouped(nodes)
-    pairs = dict((j, i) for i, j in match_page(slot, groups))
-    kids, at = list(slot.kids), 0
-    for j, g in enumerate(groups):
-        if j in pairs:
-            kid = slot.kids[pairs[j]]
-            at = kids.index(kid) + 1
-        else:
-            kid = Slot(g[0].label, g[0].bad, g[0].main)
-            kids.insert(at, kid)
-            at += 1
-        learn(kid, g)
-    slot.kids = kids
-
-
-def merge(a: Slot, b: Slot) -> Slot:
-    a.n += b.n
-    a.chars += b.chars
-    a.linked += b.linked
-    a.count(b.texts)
-    pairs = dict((j, i) for i, j in simple_tree_matching(a.kids, b.kids, lambda s: s.label, lambda s: s.label, lambda s: s.kids, lambda s: s.kids)[1])
-    kids, at = list(a.kids), 0
-    for j, kid in enumerate(b.kids):
-        if j in pairs:
-            mine = a.kids[pairs[j]]
-            at = kids.index(mine) + 1
-            merge(mine, kid)
-        else:
-            kids.insert(at, kid)
-            at += 1
-    a.kids = kids
-    return a
+def merge(a: Slot, b: Slot, count: int = 0) -> int:
+    """Folds b into a. Slots of b get the numbers of theirs in a, new ones count,
+    count + 1 and so on; the next number is returned."""
+    b.num = a.num
+    stack = [(a, b, simple_tree_matching(a.kids, b.kids)[1])]
+    while stack:
+        x, y, pairs = stack.pop()
+        mine = {id(q): (p, sub) for p, q, sub in pairs}
+        kids, at = list(x.kids), 0
+        for q in y.kids:
+            if id(q) in mine:
+                p, sub = mine[id(q)]
+                q.num = p.num
+                at = next(i for i in range(at, len(kids)) if kids[i] is p) + 1
+                stack.append((p, q, sub))
+            else:
+                p = Slot(q.label, num=count)
+                q.num = count
+                count += 1
+                kids.insert(at, p)
+                at += 1
+                stack.append((p, q, []))
+        x.kids = kids
+    return count
+
+
+def matched(a: Slot, b: Slot) -> Iterator[tuple[Slot, Slot]]:
+    """The pairs of slots that simple tree matching aligns."""
+    stack = [(a, b, simple_tree_matching(a.kids, b.kids)[1])]
+    while stack:
+        x, y, pairs = stack.pop()
+        yield x, y
+        stack += pairs
+
+
+def blocks(root: Node, slots: dict[int, int], template: set) -> list[str]:
+    """The page's content; slots: number of each node's slot, by id."""
+    seen = list(walk(root))
+    main = any(inside and not bad and any(isinstance(k, tuple) for k in x.items) for x, bad, inside in seen)
+    out: list[str] = []
+    state = {id(x): (bad, inside) for x, bad, inside in seen}
+    stack = [root]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, Node):
+            stack += [(k, x) if isinstance(k, tuple) else k for k in reversed(x.items)]
+            continue
+        (text, linked), node = x
+        bad, inside = state[id(node)]
+        if not bad and (inside if main else 2 * linked <= len(text)) and not (template and (slots.get(id(node), -1), key(text)) in template):
+            out.append(text)
+    return out
 
 
 class Wrapper:
-    """A host's merged tree, ready to extract."""
-
-    def __init__(self, top: Slot):
-        self.top = top
-        self.differ = max((len(s.texts) for s in self._all(top)), default=0) >= DIFFERENT
+    """A host's merged tree and its template texts, as (slot, key of the text)."""
 
-    def _all(self, s: Slot) -> Iterator[Slot]:
-        yield s
-        for k in s.kids:
-            yield from self._all(k)
-
-    def template(self, s: Slot, text: str) -> bool:
-        """Whether this text of the slot is part of the wrapper."""
-        n = s.texts.get(key(text), 0)
-        return self.differ and n >= DIFFERENT and n >= STAYS * s.n
+    def __init__(self, top: Slot, template: set):
+        self.top, self.template = top, template
 
     def extract(self, root: Node) -> str:
-        out: list[str] = []
-        main = has_main(root, 0)
-        self._emit([root], 0, not main, main, self._pieces([root]), out)
-        return "\n".join(out)
-
-    def _pieces(self, nodes: list[Node]) -> dict:
-        """Each node's slot; a node without one is judged by its own names."""
-        found: dict[int, Slot] = {}
-
-        def walk(slot: Slot, nodes: list[Node]) -> None:
-            for node in nodes:
-                found[id(node)] = slot
-            groups = grouped(nodes)
-            for i, j in match_page(slot, groups):
-                walk(slot.kids[i], groups[j])
-
-        walk(self.top, nodes)
-        return found
-
-    def _emit(self, nodes: list[Node], bad: int, inside: bool, main: bool, found: dict, out: list[str]) -> None:
-        for node in nodes:
-            s = found.get(id(node))
-            worse = worst(bad, node)
-            within = inside or node.main
-            for x in node.items:
-                if isinstance(x, Node):
-                    self._emit([x], worse, within, main, found, out)
-                elif within and not worse and (main or 2 * x[1] <= len(x[0])) and not (s and self.template(s, x[0])):
-                    out.append(x[0])
+        if not self.template:
+            return "\n".join(blocks(root, {}, self.template))
+        slots = {id(node): mine.num for mine, other in matched(self.top, page_tree(root)) for node in other.nodes}
+        return "\n".join(blocks(root, slots, self.template))
 
 
 def host(url) -> F.Column:
@@ -360,57 +378,123 @@ def host(url) -> F.Column:
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tops: dict[str, Slot] = {}
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(tops), pa.string()), pa.array([pickle.dumps(t, 5) for t in tops.values()], pa.binary())], ["host", "wrapper"])
+    """Of each host one row with a tree, and (host's key, tree, slot, key of a text,
+    key of the page's body) for each text of a slot, and once with text 0 for each
+    slot that has texts. Of pages with equal bodies a tree tells of the first."""
+    names = ["h", "tree", "slot", "text", "body", "host", "blob", "bytes"]
+    first = TaskContext.get().partitionId() << 24
+    tops: dict[str, list] = {}
+    facts: list[tuple] = []
+    done = 0
+
+    def told() -> pa.RecordBatch:
+        cols = [pa.array(c, pa.int64()) for c in zip(*facts, strict=True)]
+        n = len(facts)
+        facts.clear()
+        return pa.RecordBatch.from_arrays([*cols, pa.nulls(n, pa.string()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names)
+
+    def trees() -> pa.RecordBatch:
+        none = [pa.nulls(len(tops), pa.int64())] * 3
+        t = tops.values()
+        return pa.RecordBatch.from_arrays([pa.array([x[4] for x in t], pa.int64()), pa.array([x[2] for x in t], pa.int64()), *none, pa.array(list(tops), pa.string()), pa.array([x[0].packed() for x in t], pa.binary()), pa.array([x[3] for x in t], pa.int64())], names)
 
     for batch in batches:
         for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            if page:
-                if h not in tops and len(tops) >= HOSTS:
-                    yield out()
-                    tops = {}
-                learn(tops.setdefault(h, Slot("#", 0, False)), [parse(page)])
+            if not page:
+                continue
+            if h not in tops:
+                if len(tops) >= HOSTS:
+                    yield trees()
+                    tops.clear()
+                tops[h] = [Slot("#"), 1, first + done, 0, key(h), set()]
+                done += 1
+            top = tops[h]
+            root = parse(page)
+            tree = page_tree(root)
+            top[1] = merge(top[0], tree, top[1])
+            top[3] += len(page)
+            body = key("\n".join(blocks(root, {}, set())))
+            if body in top[5]:
+                continue
+            top[5].add(body)
+            here = {(s.num, key(k[0])) for s in tree.all() for node in s.nodes for k in node.items if isinstance(k, tuple)}
+            here |= {(slot, 0) for slot, _ in here} | {(0, 0)}
+            facts += [(top[4], top[2], *x, body) for x in here]
+            if len(facts) >= FACTS:
+                yield told()
+    if facts:
+        yield told()
     if tops:
-        yield out()
+        yield trees()
 
 
 def _merge(t: pa.Table) -> pa.RecordBatch:
-    top = None
-    for blob in t.column("wrapper"):
-        one = pickle.loads(blob.as_py())
-        top = one if top is None else merge(top, one)
-    return pa.RecordBatch.from_arrays([t.column("host").combine_chunks().slice(0, 1), pa.array([pickle.dumps(top, 5)], pa.binary())], ["host", "wrapper"])
+    top, count = Slot("#"), 1
+    for blob in t.column("blob"):
+        count = merge(top, unpacked(blob.as_py()), count)
+    return pa.RecordBatch.from_arrays([t.column("host").combine_chunks().slice(0, 1), pa.array([top.packed()], pa.binary())], ["host", "blob"])
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tree, slot, to): the merged tree's slot of each slot of a task's tree."""
+    for batch in batches:
+        for tree, blob, whole in zip(*(batch.column(c) for c in ("tree", "blob", "whole")), strict=True):
+            pairs = [(b.num, a.num) for a, b in matched(unpacked(whole.as_py()), unpacked(blob.as_py()))]
+            slot, to = (pa.array(c, pa.int64()) for c in zip(*pairs, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), tree.as_py())), slot, to], ["tree", "slot", "to"])
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, blob, template, bytes) of pages (host, html): one row for each host with a page."""
+    learnt = graph.cut(pages.mapInArrow(_learn, "h long, tree long, slot long, text long, body long, host string, blob binary, bytes long"))
+    trees = learnt.where("blob IS NOT NULL").select("h", "host", "tree", "blob", "bytes")
+    some = graph.by_table(trees.select("host", F.pmod("tree", F.lit(ROUND)).alias("part"), "blob"), ["host", "part"], _merge, "host string, blob binary")
+    whole = graph.cut(graph.by_table(some, ["host"], _merge, "host string, blob binary"))
+    places = trees.select("host", "tree", "blob").join(whole.withColumnRenamed("blob", "whole"), "host").select("tree", "blob", "whole").mapInArrow(_places, "tree long, slot long, to long")
+    facts = learnt.where("blob IS NULL").select("h", "tree", "slot", "text", "body")
+    # Of equal bodies in several trees one counts.
+    copies = facts.where("slot = 0 AND text = 0").groupBy("h", "body").agg(F.min("tree").alias("owner"), F.count("*").alias("n")).where("n > 1").select("h", "body", "owner")
+    facts = facts.join(copies, ["h", "body"], "left").where("owner IS NULL OR owner = tree").join(places, ["tree", "slot"])
+    counts = graph.cut(facts.groupBy("h", "to", "text").agg(F.count("*").alias("n")).where(F.col("n") >= DIFFERENT))
+    total = counts.where("text = 0").select("h", "to", F.col("n").alias("total"))
+    # Such texts are on half of the pages, so a host has no more than twice what a page holds.
+    stays = counts.where("text <> 0").join(total, ["h", "to"]).where(F.col("n") >= STAYS * F.col("total"))
+    template = stays.groupBy("h").agg(F.collect_list(F.struct(F.col("to").alias("slot"), "text")).alias("template"))
+    sizes = trees.groupBy("h", "host").agg(F.sum("bytes").alias("bytes"))
+    return whole.join(sizes, "host").join(template, "h", "left").drop("h")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, Wrapper] = {}
+    """Rows sorted by host and part, the host's wrapper before its pages."""
+    at, wrapper = None, None
     for batch in batches:
-        texts = []
-        for h, page, blob in zip(*(batch.column(c) for c in ("host", "html", "wrapper")), strict=True):
-            page, h = page.as_py(), h.as_py()
-            if not page:
-                texts.append("")
+        keep, texts = [], []
+        for i, (h, html) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html"), strict=True)):
+            if batch.column("blob")[i].is_valid:
+                top, template = unpacked(batch.column("blob")[i].as_py()), batch.column("template")[i].as_py()
+                at, wrapper = h, Wrapper(top, {(x["slot"], x["text"]) for x in template or ()})
                 continue
-            if h not in held:
-                if len(held) >= HOSTS:
-                    held.clear()
-                held[h] = Wrapper(pickle.loads(blob.as_py()))
-            texts.append(held[h].extract(parse(page)))
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
+            page = html.as_py()
+            keep.append(i)
+            texts.append((wrapper if at == h else Wrapper(Slot("#"), set())).extract(parse(page)) if page else "")
+        yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(keep, pa.int64())), pa.array(texts, pa.string())], ["row", "text"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """pages' columns (without html) in a struct `row`, with `text`."""
     rest = [c for c in pages.columns if c != "html"]
     d = pages.select(F.struct(*rest).alias("row"), "html", host(F.col("url")).alias("host"))
-    wrappers = graph.by_table(d.select("host", "html").mapInArrow(_learn, "host string, wrapper binary"), ["host"], _merge, "host string, wrapper binary")
-    wrappers = graph.cut(wrappers)
-    salted = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    keyed = d.withColumn("salt", F.pmod(F.xxhash64("row", "html"), F.lit(SALTS)).cast("int"))
-    both = keyed.join(salted, ["host", "salt"], "left").select("row", "html", "host", "wrapper")
-    return both.mapInArrow(_extract, f"row {d.schema['row'].dataType.simpleString()}, text string")
+    found = graph.cut(wrappers(d.select("host", "html")))
+    parts = F.ceil(F.col("bytes") / F.lit(HOT)).cast("int")
+    # At most one row for each HOT bytes of the whole table.
+    hot = found.where(F.col("bytes") > HOT).select("host", parts.alias("parts"))
+    part = F.coalesce(F.pmod(F.monotonically_increasing_id(), "parts"), F.lit(0)).cast("int")
+    dealt = d.join(F.broadcast(hot), "host", "left").select("host", part.alias("part"), "row", "html", F.lit(None).cast("binary").alias("blob"), F.lit(None).cast("array<struct<slot: long, text: long>>").alias("template"))
+    none = F.lit(None)
+    first = found.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    first = first.select("host", "part", none.cast(d.schema["row"].dataType).alias("row"), none.cast("string").alias("html"), "blob", F.col("template").cast("array<struct<slot: long, text: long>>").alias("template"))
+    both = dealt.unionByName(first).repartition("host", "part").sortWithinPartitions("host", "part", F.col("blob").isNull())
+    return both.drop("part").mapInArrow(_extract, f"row {d.schema['row'].dataType.simpleString()}, text string")
 
 
 def digest(pages: DataFrame) -> DataFrame:
