@@ -8,7 +8,7 @@ text's score is the largest. Everything is numpy: the word level runs once per
 distinct word of a slice of texts, the window level over thousands of windows at
 a time.
 
-Training (on the driver) takes at most SAMPLE labelled texts of each class, the
+Training (in one task) takes at most SAMPLE labelled texts of each class, the
 ones with the smallest hashes among those of at most MAX_CHARS characters; that
 sample is the only bound. Labels belong to texts, so windows are found as in
 multiple-instance learning: a toxic text is first represented by the window with
@@ -18,11 +18,13 @@ sample is never trained on; the cut between the classes is set over all of it.
 
 Edge cases: a null or empty text, or one without words, is scored as an empty
 window; repeated rows each get a row; words over PIECE bytes are read in pieces;
-without labelled texts of both classes every score is 0.
+without labelled texts of both classes every score is 0; a null doc_id is scored
+and not held out; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -371,20 +373,32 @@ def threshold(score: np.ndarray, label: np.ndarray, clean_weight: float = 1.0) -
     return float((s[i] + s[i + 1]) / 2) if i + 1 < len(s) else float(s[i] - 1)
 
 
-def sample(docs: DataFrame, labels: DataFrame, target: str, m: int, r: int, bound: int = SAMPLE) -> tuple[pa.Table, float]:
-    """(text, label), at most bound labelled rows of each class, none held out;
-    and how many clean labelled rows stand behind each clean one of these."""
+def sample(docs: DataFrame, labels: DataFrame, target: str, m: int, r: int, bound: int = SAMPLE) -> DataFrame:
+    """(h, doc_id, text, label, weight): at most bound labelled rows of each class,
+    none held out; weight: how many clean labelled rows stand behind each clean one
+    of these. Of texts that share an id the smallest is taken."""
     known = labels.where(f"{target} IN (0, 1) AND doc_id IS NOT NULL AND NOT ({HELD_OUT.format(m=m, r=r)})").groupBy("doc_id").agg(F.max(target).alias("label"))
     known = known.withColumn("h", F.xxhash64("doc_id"))
     some = known.where("label = 1").orderBy("h", "doc_id").limit(bound).union(known.where("label = 0").orderBy("h", "doc_id").limit(bound))
-    clean = known.where("label = 0").count()
+    weight = max(1.0, known.where("label = 0").count() / bound)
     rows = docs.where(f"text IS NOT NULL AND length(text) <= {MAX_CHARS}").select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    return rows.dropDuplicates(["doc_id"]).orderBy("h", "doc_id").select("text", "label").toArrow(), max(1.0, clean / bound)
+    return rows.groupBy("h", "doc_id", "label").agg(F.min("text").alias("text")).withColumn("weight", F.lit(weight))
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [b for b in batches if b.num_rows]
+    net = None
+    if rows:
+        t = pa.Table.from_batches(rows).combine_chunks()
+        net = train(t.column("text").chunk(0), t.column("label").to_numpy().astype(np.int64), t.column("weight")[0].as_py())
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net, 5)], pa.binary())], ["net"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", m: int = 5, r: int = 0) -> Network | None:
-    rows, weight = sample(docs, labels, target, m, r)
-    return train(rows.column("text").combine_chunks(), rows.column("label").to_numpy().astype(np.int64), weight) if rows.num_rows else None
+    """Trains in one task on the bounded sample; only the network reaches the driver."""
+    rows = sample(docs, labels, target, m, r).repartition(1).sortWithinPartitions("h", "doc_id").select("text", "label", "weight")
+    found = rows.mapInArrow(_train, "net binary").toArrow().column("net")
+    return pickle.loads(found[0].as_py()) if len(found) else None
 
 
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -404,7 +418,7 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
 
 def digest(docs: DataFrame, labels: DataFrame, m: int = 5, r: int = 0) -> DataFrame:
     s = score(docs.select("doc_id", "text"), fit(docs, labels, "toxic", m, r))
-    return s.select("row.doc_id", "score", "predicted").selectExpr("doc_id", f"{HELD_OUT.format(m=m, r=r)} AS held_out", "score", "predicted")
+    return s.select("row.doc_id", "score", "predicted").selectExpr("doc_id", f"coalesce({HELD_OUT.format(m=m, r=r)}, false) AS held_out", "score", "predicted")
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
