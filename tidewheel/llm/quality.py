@@ -4,16 +4,20 @@ Features of a whole text, counted over its bytes and words at once: shares of
 byte classes, word and line statistics, repetition, and a hashed histogram of
 byte pairs. A small network minimises the non-negative unbiased risk (Kiryo et
 al. 2017): pi * R+(positives) + max(0, R-(unlabelled) - pi * R-(positives)),
-with trusted positives, unlabelled web text and the class prior pi estimated as
-the share of positives among the labelled rows that may be learnt from.
+with trusted positives, unlabelled web text and the class prior pi. No label 0 is
+used anywhere. The prior is estimated from scores of a network that tells
+positives from unlabelled text: the share of unlabelled texts above a cut, over
+the share of positives above it, bounds pi, and the cut where that bound with its
+sampling error is lowest gives the estimate (best bin, Garg et al. 2021).
 
 Training takes at most POSITIVES trusted texts and UNLABELLED other texts, those
 with the smallest hashes; only their features reach the driver. Held-out rows
 lend neither label nor text.
 
 Edge cases: a null or empty text has features of zero and gets the score of
-that; repeated rows each get a row; without positives or unlabelled texts every
-score is the prior (0.5 if unknown).
+that; repeated rows each get a row, and count once in training; a null doc_id is
+scored and not held out; without positives or unlabelled texts every score is
+0.5; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -111,7 +115,8 @@ class Model:
     def scores(self, texts: pa.Array) -> np.ndarray:
         return np.full(len(texts), self.prior) if self.p is None else sigmoid(self.logit(features(texts)).astype(np.float64))
 
-    def fit(self, pos: np.ndarray, unl: np.ndarray, seed: int = SEED) -> Model:
+    def fit(self, pos: np.ndarray, unl: np.ndarray, seed: int = SEED, epochs: int = EPOCHS) -> Model:
+        """Non-negative unbiased risk; with a prior of 0 the plain risk of positives against unlabelled."""
         rng = np.random.default_rng(seed)
         both = np.concatenate([pos, unl])
         mean, dev = both.mean(0), both.std(0) + 1e-3
@@ -120,8 +125,9 @@ class Model:
         names = ("w1", "b1", "w2", "b2")
         state = {k: (np.zeros_like(p[k]), np.zeros_like(p[k])) for k in names}
         pi, n = self.prior, 0
+        weight = 2 * pi or 1.0
         half = BATCH // 2
-        for _ in range(EPOCHS * max(8, -(-len(unl) // BATCH))):
+        for _ in range(epochs * max(8, -(-len(unl) // BATCH))):
             x = np.concatenate([pos[rng.integers(0, len(pos), half)], unl[rng.integers(0, len(unl), half)]])
             h = np.tanh(x @ p["w1"] + p["b1"])
             s = sigmoid(h @ p["w2"] + p["b2"])
@@ -130,7 +136,7 @@ class Model:
             negative = s[half:].mean() - pi * s[:half].mean()
             d = np.empty(2 * half, np.float32)
             if negative >= 0:
-                d[:half] = -2 * pi * slope[:half]
+                d[:half] = -weight * slope[:half]
                 d[half:] = slope[half:]
             else:
                 # The negative part went below zero: step back along its gradient.
@@ -147,32 +153,47 @@ class Model:
         return self
 
 
+def class_prior(pos: np.ndarray, unl: np.ndarray, seed: int = SEED) -> float:
+    """The share of positives in unl: half of the texts train, the others are counted."""
+    p, u = Model(0.0).fit(pos[::2], unl[::2], seed, EPOCHS // 3), (pos[1::2], unl[1::2])
+    if not len(u[0]) or not len(u[1]):
+        return 0.5
+    a, b = (np.sort(p.logit(x))[::-1] for x in u)
+    n, m = len(a), len(b)
+    # Shares above each positive's score.
+    above_p = np.arange(1, n + 1) / n
+    above_u = np.searchsorted(-b, -a, "right") / m
+    slip = np.sqrt(np.log(4 / 0.1) / (2 * n)) + np.sqrt(np.log(4 / 0.1) / (2 * m))
+    best = int(np.argmin((above_u + slip) / above_p))
+    return float(np.clip(above_u[best] / above_p[best], 0.02, 0.98))
+
+
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, texts in slices(batch):
             x = features(texts)
-            yield pa.RecordBatch.from_arrays([part.column("label"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), DIM).cast(pa.list_(pa.float32()))], ["label", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("label"), part.column("h"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), DIM).cast(pa.list_(pa.float32()))], ["label", "h", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, m: int = 3, r: int = 1) -> Model:
     held = HELD_OUT.format(m=m, r=r)
-    known = labels.where(f"quality IN (0, 1) AND doc_id IS NOT NULL AND NOT ({held})").groupBy("doc_id").agg(F.max("quality").alias("q"))
-    ones, total = known.agg(F.sum("q"), F.count("*")).first()
-    model = Model(min(0.98, max(0.02, ones / total)) if total else 0.5)
-    if not ones:
-        return model
+    good = labels.where(f"quality = 1 AND doc_id IS NOT NULL AND NOT ({held})").select("doc_id").distinct()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    good = known.where("q = 1").orderBy(*order).limit(POSITIVES).select("doc_id", F.lit(1).alias("label"))
-    ids = docs.where(f"text IS NOT NULL AND doc_id IS NOT NULL AND NOT ({held})").select("doc_id")
-    web = ids.orderBy(*order).limit(UNLABELLED).select("doc_id", F.lit(0).alias("label"))
+    good = good.orderBy(*order).limit(POSITIVES).withColumn("label", F.lit(1))
+    ids = docs.where(f"text IS NOT NULL AND doc_id IS NOT NULL AND NOT ({held})").select("doc_id").distinct()
+    web = ids.orderBy(*order).limit(UNLABELLED).withColumn("label", F.lit(0))
+    # Of texts that share an id the smallest counts, so at most POSITIVES + UNLABELLED rows remain.
     chosen = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(good.union(web)), "doc_id")
-    rows = chosen.select("label", "text").mapInArrow(_vectors, "label int, x array<float>").toArrow()
+    chosen = chosen.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", F.xxhash64("doc_id").alias("h"), "text")
+    rows = chosen.mapInArrow(_vectors, "label int, h long, x array<float>").toArrow()
     label = rows.column("label").to_numpy()
-    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, DIM)
-    # The order of rows depends on tasks; the features themselves fix it.
-    order = np.lexsort((x[:, N_CLASSES + 1], x[:, N_CLASSES], x[:, 1], label))
-    label, x = label[order], x[order]
-    return model.fit(x[label == 1], x[label == 0]) if (label == 1).any() and (label == 0).any() else model
+    # The order of rows depends on tasks, that of their ids' hashes doesn't.
+    order = np.lexsort((rows.column("h").to_numpy(), label))
+    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, DIM)[order]
+    pos, unl = x[label[order] == 1], x[label[order] == 0]
+    if not len(pos) or not len(unl):
+        return Model(0.5)
+    return Model(class_prior(pos, unl)).fit(pos, unl)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -191,7 +212,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def digest(docs: DataFrame, labels: DataFrame, m: int = 3, r: int = 1) -> DataFrame:
     s = score(docs.select("doc_id", "text"), fit(docs, labels, m, r))
-    return s.select("row.doc_id", "score", "predicted").selectExpr("doc_id", f"{HELD_OUT.format(m=m, r=r)} AS held_out", "score", "predicted")
+    return s.select("row.doc_id", "score", "predicted").selectExpr("doc_id", f"coalesce({HELD_OUT.format(m=m, r=r)}, false) AS held_out", "score", "predicted")
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
