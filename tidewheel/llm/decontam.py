@@ -8,8 +8,10 @@ documents pass each block in turn, so a benchmark of any size works without a
 shuffle of the corpus.
 
 Edge cases: a null or empty text has no words; an item without words, or with a
-null text, gives no window; repeated item ids count once for a document; repeated
-documents each get a row.
+null text, gives no window; windows of an item with a null id hit words, but it is
+in no list and not counted; repeated item ids count once for a document; repeated
+documents, and documents with a null id, each get a row; an empty benchmark hits
+nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import graph
 from .text import PUNCT, Words, slices
 
 WINDOW = 13
@@ -44,14 +47,14 @@ class Table:
                 by[k].append((0, item, key_of(w, j, k)))
         self.lengths = {}
         for k, rows in by.items():
-            rows = sorted(set(rows), key=lambda r: (r[2], str(r[1])))
+            rows = sorted(set(rows), key=lambda r: (r[2], r[1] is not None, str(r[1])))
             texts = sorted({r[2] for r in rows})
             spaced = Words(pa.array([t.replace(b"\x00", b" ").decode() for t in texts]), PUNCT, lower=False)
             h, at = spaced.runs(k)
             assert len(h) == len(texts), "each window has its own words"
             owners = defaultdict(list)
             for _, item, t in rows:
-                owners[t].append(item)
+                owners[t] += [item] if item is not None else []
             order = np.argsort(h, kind="stable")
             seen = np.zeros(1 << 20, bool)
             seen[(h >> np.uint64(44)).astype(np.int64)] = True
@@ -85,25 +88,31 @@ def scan(w: Words, table: Table) -> tuple[np.ndarray, dict[int, set]]:
 
 
 def _blocks(benchmark: DataFrame) -> list[DataFrame]:
-    items = benchmark.select("item_id", "text").where("text IS NOT NULL AND item_id IS NOT NULL")
+    items = benchmark.select("item_id", "text").where("text IS NOT NULL")
     # No item has more windows than characters.
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // (BLOCK * 6))
     if n <= 1:
         return [items]
-    return [items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) for i in range(n)]
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with n_words, n_hit, items (distinct item ids, sorted as strings) and
-    hits (begin and end of each run of hit words, in words)."""
-    keep = docs.columns
+    """docs' columns in a struct `row`, with n_words, n_hit, items (distinct item ids,
+    sorted as strings) and hits (begin and end of each run of hit words, in words).
+
+    One block is broadcast at a time: between blocks what was found is kept by a
+    checkpoint and the block is released."""
     sc = docs.sparkSession.sparkContext
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs
-    for i, block in enumerate(_blocks(benchmark)):
+    out = docs.select(F.struct("*").alias("row"), "text")
+    kind = out.schema["row"].dataType.simpleString()
+    blocks = _blocks(benchmark)
+    for i, block in enumerate(blocks):
         table = sc.broadcast(Table(block.toArrow()))
-        out = out.mapInArrow(_pass(table, keep, i == 0), f"{fields}, n_words long, items array<string>, hits array<long>")
+        out = out.mapInArrow(_pass(table, ["row", "text"], i == 0), f"row {kind}, text string, n_words long, items array<string>, hits array<long>")
+        if i + 1 < len(blocks):
+            out = graph.cut(out)
+            table.destroy()
     hit = F.expr("aggregate(sequence(0, int(size(hits) / 2) - 1), 0L, (s, i) -> s + hits[2 * i + 1] - hits[2 * i])")
     return out.withColumn("n_hit", F.when(F.size("hits") > 0, hit).otherwise(F.lit(0)).cast("long"))
 
@@ -141,7 +150,7 @@ def is_contaminated(n_words, n_hit):
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = contamination(docs.select("doc_id", "text"), benchmark)
     return found.select(
-        "doc_id",
+        "row.doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
@@ -150,14 +159,9 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def _with_row(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """contamination() of docs with its columns in one struct, so no name clashes."""
-    return contamination(docs.select(F.struct("*").alias("row"), "text"), benchmark)
-
-
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without the contaminated ones; the columns of docs."""
-    found = _with_row(docs, benchmark)
+    found = contamination(docs, benchmark)
     return found.where(~is_contaminated(F.col("n_words"), F.col("n_hit"))).select("row.*")
 
 
@@ -179,6 +183,6 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
-    found = _with_row(docs, benchmark)
+    found = contamination(docs, benchmark)
     out = found.mapInArrow(run, f"row {found.schema['row'].dataType.simpleString()}, text string")
     return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
