@@ -9,9 +9,10 @@ over the last few thousand words picks how many of each length close the gap.
 Which documents of a length are taken follows a seeded hash.
 
 Skew: a source is only ever seen as counts by (length, hash bucket), summed
-before the shuffle; documents are ranked only inside the one bucket of a length
-that the count cuts, so a source or length with a third of all rows is never
-ordered in one task.
+before the shuffle; hashes are ranked only inside the one bucket of a length that
+the count cuts, so a source or length with a third of all rows is never ordered
+in one task. The texts themselves are read once more and meet one small row for
+each (source, length): the hash up to which its documents are taken.
 
 Edge cases: a null or empty text has size 0 and takes 0; a null source is a
 source of its own, last in order; a source without words has target 0; rows that
@@ -30,7 +31,8 @@ from . import graph
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
 SEED = 17
-BUCKETS = 256
+#: Highest bits of a hash that say its bucket.
+BITS = 8
 #: Words left to the dynamic program; its table has this many bits.
 FIT = 1 << 14
 WORD = r"[^\x20\x09-\x0D]+"
@@ -123,21 +125,33 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED)
         size(F.col("row.text")).alias("size"),
         order.alias("h"),
     )
-    d = d.withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
-    hist = graph.cut(d.groupBy("key", "size", "bucket").agg(F.count("*").alias("n")))
+    # Hashes in order, by their highest bits.
+    narrow = graph.cut(d.select("key", "size", "h", (F.shiftright("h", 64 - BITS) + (1 << BITS - 1)).cast("int").alias("bucket")))
+    hist = graph.cut(narrow.groupBy("key", "size", "bucket").agg(F.count("*").alias("n")))
     lengths = hist.groupBy("key", "size").agg(F.sum("n").alias("n"))
     sources = lengths.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goal = graph.cut(targets(sources.select(F.expr("if(key = '', null, substring(key, 2))").alias("source"), "source_size"), weights).select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"), "source_size", "target"))
-    plan = graph.by_table(lengths.join(goal, "key"), ["key"], _fit_sources, "key string, size long, full long, extra long")
+    plan = graph.cut(graph.by_table(lengths.join(goal, "key"), ["key"], _fit_sources, "key string, size long, full long, extra long"))
+    # The bucket in which the count ends, and in it the hash; `some` of the `ties` rows with that hash are taken.
     upto = Window.partitionBy("key", "size").orderBy("bucket")
-    cut = hist.join(plan, ["key", "size"]).withColumn("before", F.sum("n").over(upto) - F.col("n"))
-    cut = cut.join(goal, "key").select("key", "size", "bucket", "full", "source_size", "target", F.least("n", F.greatest(F.lit(0), F.col("extra") - F.col("before"))).alias("more"), "n")
-    d = d.join(cut, ["key", "size", "bucket"])
-    rank = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("h"))
-    some = d.where("more > 0 AND more < n").withColumn("copies", F.col("full") + F.when(rank <= F.col("more"), 1).otherwise(0))
-    rest = d.where("more = 0 OR more = n").withColumn("copies", F.col("full") + F.when(F.col("more") > 0, 1).otherwise(0))
-    out = rest.unionByName(some)
-    return out.select("row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    cut = hist.join(plan.where("extra > 0"), ["key", "size"]).withColumn("before", F.sum("n").over(upto) - F.col("n"))
+    cut = cut.where("before < extra AND extra <= before + n").select("key", "size", "bucket", (F.col("extra") - F.col("before")).alias("left"))
+    inside = narrow.join(cut, ["key", "size", "bucket"]).groupBy("key", "size", "left", "h").agg(F.count("*").alias("ties"))
+    inside = inside.withColumn("before", F.sum("ties").over(Window.partitionBy("key", "size").orderBy("h")) - F.col("ties"))
+    last = inside.where("before < left AND left <= before + ties").select("key", "size", F.col("h").alias("last"), (F.col("left") - F.col("before")).alias("some"), "ties")
+    rule = graph.cut(plan.drop("extra").join(goal, "key").join(last, ["key", "size"], "left"))
+    out = d.join(rule, ["key", "size"])
+    more = F.when(F.col("h") < F.col("last"), 1).when((F.col("h") == F.col("last")) & (F.col("some") == F.col("ties")), 1).otherwise(0)
+    split = (F.col("h") == F.col("last")) & (F.col("some") < F.col("ties"))
+    if not rule.where("some < ties").isEmpty():
+        # Rows that repeat id and text, of which only some are taken.
+        rank = F.row_number().over(Window.partitionBy("key", "size", "h").orderBy("h"))
+        tied = out.where(split).withColumn("more", F.when(rank <= F.col("some"), 1).otherwise(0))
+        out = out.where(F.coalesce(~split, F.lit(True))).withColumn("more", more).unionByName(tied)
+    else:
+        out = out.withColumn("more", more)
+    copies = F.col("full") + F.col("more")
+    return out.select("row", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
