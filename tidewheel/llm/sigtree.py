@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
@@ -309,7 +309,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     linkable = feats.where("n > 0 AND id IS NOT NULL")
     classes = linkable.groupBy("key", "n").agg(F.min_by(F.struct("id", "prefix"), "id").alias("c")).select("key", "n", "c.*")
     rows = classes.select("id", F.explode("prefix").alias("token"))
-    shared = graph.cut(rows.withColumn("m", F.count("*").over(Window.partitionBy("token"))).where("m > 1"))
+    # A count and an equi-join, which adaptive execution splits where a token is hot.
+    shared = graph.cut(rows.join(rows.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"), "token").select("id", "token", "m"))
     sized = feats.where("n > 0").select("id", "n")
     bits = linkable.select("id", "n", "bits").dropDuplicates(["id", "n", "bits"])
     keyed = graph.block_pairs(shared.join(bits, "id"), "id", "m", TOKEN_BLOCK)
