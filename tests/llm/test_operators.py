@@ -485,6 +485,10 @@ def test_edit_distance():
     for _ in range(200):
         a, b = ("".join(rng.choice("abcé") for _ in range(rng.randrange(30))) for _ in range(2))
         assert linededup.edit_distance(a, b) == distance(a, b)
+    words = prose(rng, 40, 30).split(" ")
+    for _ in range(40):
+        a, *others = (" ".join(rng.sample(words, rng.randrange(0, 12))) for _ in range(rng.randrange(2, 9)))
+        assert linededup.distances(a, others).tolist() == [distance(a, b) for b in others]
 
 
 def distance(a, b):
@@ -592,34 +596,72 @@ def test_line_dedup_recall(spark, kind):
 # 5
 
 
-def test_substring_dedup_catches_passages_anywhere(spark):
+def test_substring_dedup_removes_whole_passages(spark):
+    """Every later copy of a passage goes from its first word to its last, and nothing else does."""
     rng = random.Random(11)
-    texts = [prose(rng, 300, 10**6) for _ in range(30)]
-    shared = [prose(rng, n, 10**6) for n in (51, 60, 120)]
+    texts = [prose(rng, 300, 10**6) for _ in range(60)]
+    shared = [prose(rng, n, 10**6) for n in (51, 52, 60, 77, 120, 51)]
+    short = prose(rng, 40, 10**6)
     where = {}
-    for k, s in enumerate(shared):
-        for d in (3 * k, 3 * k + 10, 3 * k + 20):
+    for k, s in enumerate([*shared, short]):
+        for d in (7 * k, 7 * k + 3, 7 * k + 5):
             w = texts[d].split(" ")
-            cut = rng.randrange(len(w))
+            cut = rng.randrange(len(w) + 1)
             texts[d] = " ".join(w[:cut] + [s] + w[cut:])
             where[d] = (k, cut)
     rows = {r.doc_id: r for r in passages.digest(docs(spark, texts + EDGES)).collect()}
     assert len(rows) == len(texts) + len(EDGES)
-    for d in range(30):
-        later = d in where and d >= 10
-        assert rows[d].repeats == later, d
-        if later:
+    for d in range(60):
+        if d in where and where[d][0] < len(shared) and d % 7:
             k, cut = where[d]
-            a, *_, b = map(int, rows[d].removed.split(","))
-            assert cut <= a < b <= cut + len(shared[k].split(" "))
+            a, b = map(int, rows[d].removed.split(","))
+            # The words around are followed by a byte each.
+            assert cut - 1 <= a <= cut and 0 <= b - cut - len(shared[k].split(" ")) <= 1 and rows[d].n_removed == b - a, d
         else:
-            assert rows[d].text == texts[d]
+            assert rows[d].text == texts[d] and not rows[d].repeats, d
     for i, t in enumerate(EDGES):
-        assert rows[30 + i].text == t
+        assert rows[60 + i].text == t
     assert passages.digest(docs(spark, [])).count() == 0
 
 
-def test_near_paragraphs_are_verified_by_jaccard():
+def test_substring_dedup_of_copies_and_edits(spark):
+    """Edited copies: paragraphs of 0.8 similarity are linked, and what runs alike is followed."""
+    rng = random.Random(13)
+    base = prose(rng, 400, 10**6).split(" ")
+    edited = list(base)
+    for i in range(60, 400, 90):
+        edited[i] = "edit"
+    texts = [" ".join(base), " ".join(base), " ".join(edited), prose(rng, 300, 10**6)]
+    d = docs(spark, [*texts, texts[0], None], [5, 6, 7, 8, 9, None]).withColumn("words", wrapper.F.lit(1)).withColumn("parts", wrapper.F.lit("mine"))
+    got = {r.doc_id: r.n_removed for r in passages.digest(d.where("doc_id IS NOT NULL")).collect()}
+    assert got[5] == got[8] == 0 and got[6] == got[9] == 400 and 300 <= got[7] <= 400
+    assert passages.dedup(d).selectExpr("row.*").columns == d.columns
+    same = passages.digest(docs(spark, [texts[0] + " " + texts[0], texts[3], texts[3]], [1, 2, 2])).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in same) == [(1, 400), (2, 0), (2, 0)]
+
+
+def test_similar_paragraphs_meet_and_are_judged_by_jaccard():
+    """Against the Jaccard similarity itself: paragraphs of 0.8 and more share a band nine times in ten."""
+    rng = random.Random(14)
+    similar = met = 0
+    for _ in range(400):
+        w = prose(rng, passages.LENGTH, 10**6).lower().split(" ")
+        v = list(w)
+        v[rng.choice([0, passages.LENGTH - 1])] = "edit"
+        x, y = ({tuple(u[i : i + 5]) for i in range(len(u) - 4)} for u in (w, v))
+        if len(x & y) >= 0.8 * len(x | y):
+            similar += 1
+            keys = []
+            for u in (w, v):
+                p = object.__new__(passages.Paragraphs)
+                p.shingles = Words(pa.array([" ".join(u)]), SPACE).runs(5)[0][None, :]
+                p.start = np.zeros(1, np.int64)
+                keys.append(set(p.bands()[0].tolist()))
+            met += bool(keys[0] & keys[1])
+    assert similar > 300 and met >= 0.9 * similar
+
+
+def test_paragraphs_stand_on_content():
     rng = random.Random(12)
     w = prose(rng, 400, 10**6).split(" ")
     p = passages.Paragraphs(pa.array([" ".join(w), " ".join(["lead"] * 3 + w)]))
