@@ -99,8 +99,13 @@ def test_compaction(spark, tmp_path):
     assert sorted((r.measurement, r.field, r.ts, r.v) for r in out.collect()) == [("m", "v", 1, 2.0), ("m", "v", 2, 3.0), ("m", "w", 2, 4.0)]
     # Compacting twice changes nothing.
     assert maintenance.compact(out).count() == 3
-    maintenance.rewrite(out, str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).where("measurement = 'm' AND day = 0").count() == 3
+    path = str(tmp_path / "t")
+    maintenance.rewrite(out, path)
+    assert spark.read.parquet(path).where("measurement = 'm' AND day = 0").count() == 3
+    # A table may be rewritten from itself.
+    maintenance.rewrite(spark.read.parquet(path).drop("day").where("v < 4"), path)
+    assert sorted(r.v for r in spark.read.parquet(path).collect()) == [2.0, 3.0]
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
 
 
 @pytest.mark.parametrize(

@@ -68,10 +68,11 @@ def field_stats(source: Source) -> DataFrame:
 
 
 def cardinality(source: Source, tag: str | None = None, exact: bool = False) -> DataFrame:
-    """(estimate) of series, or (value, estimate) for each value of a tag."""
+    """(estimate) of series, or (value, estimate) for each value of a tag. A tag set
+    is a series of a field only where that field has a value."""
     key = F.xxhash64(*[F.col(t) for t in source.tags])
-    count = F.count_distinct(key) if exact else F.approx_count_distinct(key, 0.008)
-    many = F.lit(len(source.fields))
+    each = [F.when(F.col(f).isNotNull(), key) for f in source.fields]
+    count = sum((F.count_distinct(k) if exact else F.approx_count_distinct(k, 0.008) for k in each[1:]), F.count_distinct(each[0]) if exact else F.approx_count_distinct(each[0], 0.008))
     if tag is None:
-        return source.df.agg((count * many).alias("estimate"))
-    return source.df.groupBy(F.col(tag).cast("string").alias("value")).agg((count * many).alias("estimate"))
+        return source.df.agg(count.alias("estimate"))
+    return source.df.groupBy(F.col(tag).cast("string").alias("value")).agg(count.alias("estimate"))

@@ -6,6 +6,7 @@ possible, so a delete needs no shuffle. `rewrite` publishes a result."""
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass
 from functools import reduce
 
@@ -154,22 +155,22 @@ def downsample(source: Source, rule: Downsample, now: int) -> DataFrame:
     source = last_write_wins(source)
     cutoff, step = now - parse_duration(rule.after), parse_interval(rule.interval)
     numeric = [f for f in source.fields if source.kind(f) in ("double", "long")]
-    ts = source.nanos()
-    old = source.df.withColumn("_ts", ts).withColumn("_old", F.col("_ts") < cutoff)
-    at = F.when(F.col("_old"), bucket(F.col("_ts"), step)).otherwise(F.col("_ts"))
+    df = source.df.withColumn("_ts", source.nanos())
     aggs = []
     for i, f in enumerate(numeric):
         x = F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double"))
         aggs += [aggregate(rule.method, x, [F.col("_ts")]).alias(f"_a{i}"), F.count(f).alias(f"_n{i}")]
-    # New rows are groups of one: old and new go through the same single exchange.
-    out = old.groupBy(*source.tags, at.alias("ts"), "_old").agg(*aggs)
+    folded = df.where(F.col("_ts") < cutoff).groupBy(*source.tags, bucket(F.col("_ts"), step).alias("ts")).agg(*aggs)
     each = []
     for i, f in enumerate(numeric):
         value = F.col(f"_a{i}")
         if source.kind(f) == "long":
             value = value.cast("long").cast("double")
         each.append(F.struct(F.lit(f).alias("field"), value.alias("value"), F.col(f"_n{i}").alias("n")))
-    return out.withColumn("_f", F.explode(F.array(*each))).where("_f.n > 0").select(*source.tags, "_f.field", "ts", "_f.value")
+    folded = folded.withColumn("_f", F.explode(F.array(*each))).where("_f.n > 0").select(*source.tags, "_f.field", "ts", "_f.value")
+    as_they_are = F.array(*[F.struct(F.lit(f).alias("field"), F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")).alias("value"), F.col(f).isNotNull().alias("has")) for f in numeric])
+    new = df.where(F.col("_ts") >= cutoff).select(*source.tags, F.col("_ts").alias("ts"), F.explode(as_they_are).alias("_f"))
+    return folded.unionByName(new.where("_f.has").select(*source.tags, "_f.field", "ts", "_f.value"))
 
 
 def compact(points: DataFrame, deletes: list[Delete] = (), ttl: dict[str, str] | None = None, now: int = 0) -> DataFrame:
@@ -185,7 +186,20 @@ def compact(points: DataFrame, deletes: list[Delete] = (), ttl: dict[str, str] |
 
 
 def rewrite(points: DataFrame, path: str) -> None:
-    """Publishes a points table: by measurement and day, sorted for row-group pruning."""
+    """Publishes a points table: by measurement and day, sorted for row-group pruning.
+
+    The points may come from the same path: the new table is written beside it and
+    takes its place by two renames, the old one goes last. Ranges deal a large
+    measurement's day to several tasks."""
+    spark = points.sparkSession
     day = F.floor(F.col("ts") / F.lit(86400 * 10**9)).cast("int")
-    out = points.withColumn("day", day).repartition("measurement", "day").sortWithinPartitions("measurement", "day", "field", "ts")
-    out.write.mode("overwrite").partitionBy("measurement", "day").parquet(path)
+    keys = ["measurement", "day", "field", "ts"]
+    new = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    points.withColumn("day", day).repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy("measurement", "day").parquet(new)
+    here, there, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, new, f"{new}.old"))
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(here) and not fs.rename(here, old):
+        raise OSError(f"cannot move {path}")
+    if not fs.rename(there, here):
+        raise OSError(f"cannot publish {new} as {path}")
+    fs.delete(old, True)

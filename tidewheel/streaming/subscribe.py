@@ -86,8 +86,11 @@ def batches(points: DataFrame, formula: str, keys: list[str]) -> DataFrame:
 
 
 def subscribe(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, backfill: DataFrame | None = None, mode: str = "append", once: bool = False):
-    """Starts a subscription; sink gets each micro-batch. backfill: history, handed
-    over before the first one."""
+    """Starts a subscription; sink gets each micro-batch with its number. backfill:
+    history, handed over as number -1 before the first one. After a failure the
+    unfinished batch, and with batch 0 the backfill, comes again under its number:
+    a sink that keeps the last number it stored skips repeats. The input of a batch
+    is bounded where the stream is read (maxFilesPerTrigger, maxOffsetsPerTrigger)."""
 
     def each(df: DataFrame, batch: int) -> None:
         if batch == 0 and backfill is not None:

@@ -360,20 +360,25 @@ for _n, _t, _step in (
         lambda s, d, t=_t: two(s, d, t),
         f"WITH RECURSIVE {frame().removeprefix('WITH ')}, o AS (SELECT row_number() {W} AS n, ts, a - b AS x FROM f), r AS ({_step}) SELECT o.ts, round(r.s, 6) AS value FROM r JOIN o USING (n)",
     )
-add("r11_gaussian_smooth", lambda s, d: two(s, d, "gaussian_smooth(a - b, 2)"))
+_BELL = "exp(-0.5 * ((q.i - p.i) / 2.0) ** 2)"
+add(
+    "r11_gaussian_smooth",
+    lambda s, d: two(s, d, "gaussian_smooth(a - b, 2)"),
+    f"{frame()}, o AS (SELECT row_number() {W} AS i, ts, a - b AS x FROM f) SELECT p.ts, round(sum(q.x * {_BELL}) / sum({_BELL}), 6) AS value FROM o p JOIN o q ON q.i BETWEEN p.i - 6 AND p.i + 6 GROUP BY p.ts",
+)
 add("t18_fill_spline", lambda s, d: two(s, d, "fill_spline(cutoff_min(a + 0 * b, 900))"))
 
 # Alignment.
 for _how, _times in (("inner", "SELECT ts FROM xa JOIN xb USING (ts)"), ("outer", "SELECT ts FROM xa UNION SELECT ts FROM xb"), ("left", "SELECT ts FROM xa")):
     add(
         f"j_align_{_how}",
-        lambda s, d, how=_how: rounded(align({k: numeric(events(s, d), f"sum:events(value){{event_type:{t},user_id:~1.*}}", START, END, "1h") for k, t in KINDS.items()}, how), "a", "b"),
+        lambda s, d, how=_how: rounded(align({k: numeric(events(s, d), f"sum:events(value){{event_type:{t}}}", START, END, "1m") for k, t in KINDS.items()}, how), "a", "b"),
         "WITH "
-        + ", ".join(f"x{k} AS (SELECT t // {HOUR} * {HOUR} AS ts, sum(value) AS v FROM {EV} WHERE event_type = '{t}' AND user_id::VARCHAR LIKE '1%' AND {RANGE} GROUP BY 1)" for k, t in KINDS.items())
+        + ", ".join(f"x{k} AS (SELECT t // {MINUTE} * {MINUTE} AS ts, sum(value) AS v FROM {EV} WHERE event_type = '{t}' AND {RANGE} GROUP BY 1)" for k, t in KINDS.items())
         + f", g AS ({_times}) SELECT ts, round(ra.v, 6) AS a, round(rb.v, 6) AS b FROM {on('a')} ra JOIN {on('b')} rb USING (ts)",
     )
-_SRC = f"SELECT t // {HOUR} * {HOUR} AS ts, sum(value) AS v FROM {EV} WHERE event_type = 'click' AND user_id < 20 AND {RANGE} GROUP BY 1"
-_TGT = f"SELECT DISTINCT t // {HOUR} * {HOUR} + {HOUR // 2} AS ts FROM {EV} WHERE event_type = 'purchase' AND {RANGE}"
+_SRC = f"SELECT t // {MINUTE} * {MINUTE} AS ts, sum(value) AS v FROM {EV} WHERE event_type = 'click' AND {RANGE} GROUP BY 1"
+_TGT = f"SELECT DISTINCT t // {MINUTE} * {MINUTE} + {MINUTE // 2} AS ts FROM {EV} WHERE event_type = 'purchase' AND {RANGE}"
 for _mode, _value in (
     ("linear", "CASE WHEN p.ts IS NULL THEN n.v WHEN n.ts IS NULL THEN p.v ELSE p.v + (n.v - p.v) * ((g.ts - p.ts) / (n.ts - p.ts)) END"),
     ("previous", "p.v"),
@@ -383,8 +388,8 @@ for _mode, _value in (
 ):
 
     def _interpolated(s, d, mode=_mode):
-        src = numeric(Source(events(s, d).df.where("user_id < 20"), "events", ("event_type", "user_id"), ("value",), "ts", "event_id"), "sum:events(value){event_type:click}", START, END, "1h")
-        at = numeric(events(s, d), "sum:events(value){event_type:purchase}", START, END, "1h").select((F.col("ts") + HOUR // 2).alias("ts"))
+        src = numeric(events(s, d), "sum:events(value){event_type:click}", START, END, "1m")
+        at = numeric(events(s, d), "sum:events(value){event_type:purchase}", START, END, "1m").select((F.col("ts") + MINUTE // 2).alias("ts"))
         return rounded(interpolate(src, at, mode))
 
     add(f"j05_interpolate_{_mode}", _interpolated, f"WITH x AS ({_SRC}), g AS ({_TGT}) SELECT g.ts, round({_value}, 6) AS value FROM g ASOF LEFT JOIN x p ON g.ts >= p.ts ASOF LEFT JOIN x n ON g.ts <= n.ts")
@@ -423,34 +428,89 @@ def one(s, d, text, interval="1h"):
 
 
 _P60 = "OVER (ORDER BY ts ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)"
-add(
-    "n01_anomalies_basic",
-    lambda s, d: rounded(one(s, d, "anomalies(a, 'basic', 2)"), "raw", "upper", "lower", "scores", "predictions").where("upper < double('infinity')"),
-    f"""WITH x AS (SELECT t // {HOUR} * {HOUR} AS ts, avg(value) AS v FROM {EV} WHERE {RANGE} GROUP BY 1),
+_HOURLY = f"SELECT t // {HOUR} * {HOUR} AS ts, avg(value) AS v FROM {EV} WHERE {RANGE} GROUP BY 1"
+
+
+def bounded(least: str, scale: str, at: str, bounds: int) -> str:
+    """Select list of the anomaly pieces: the first `least` points have no bounds and no score."""
+    up, low = f"({at} + {bounds} * {scale})", f"({at} - {bounds} * {scale})"
+    return f"""ts, round(v, 6) AS raw, CASE WHEN i < {least} THEN 'infinity'::DOUBLE ELSE round({up}, 6) END AS upper,
+      CASE WHEN i < {least} THEN '-infinity'::DOUBLE ELSE round({low}, 6) END AS lower,
+      CASE WHEN i < {least} THEN 0 ELSE round(greatest(v - {up}, 0) + greatest({low} - v, 0), 6) END AS scores, round({at}, 6) AS predictions"""
+
+
+_BASIC = f"""WITH x AS ({_HOURLY}),
     m AS (SELECT ts, v, row_number() {W} - 1 AS i, avg(v) {_P60} AS mean, stddev_samp(v) {_P60} AS dev FROM x),
-    b AS (SELECT ts, v, mean, greatest(dev, abs(mean) * 0.01) AS s FROM m WHERE i >= 10)
-    SELECT ts, round(v, 6) AS raw, round(mean + 2 * s, 6) AS upper, round(mean - 2 * s, 6) AS lower,
-      round(greatest(v - (mean + 2 * s), 0) + greatest(mean - 2 * s - v, 0), 6) AS scores, round(mean, 6) AS predictions FROM b""",
+    b AS (SELECT ts, v, i, CASE WHEN i < 10 THEN v ELSE mean END AS mean, greatest(dev, abs(mean) * 0.01) AS s FROM m)
+    SELECT {bounded("10", "s", "mean", 2)} FROM b"""
+add("n01_anomalies_basic", lambda s, d: rounded(one(s, d, "anomalies(a, 'basic', 2)"), "raw", "upper", "lower", "scores", "predictions"), _BASIC)
+add(
+    "n06_anomaly_pieces",
+    lambda s, d: rounded(anomaly.pieces(one(s, d, "anomalies(a, 'basic', 2)"))),
+    f"WITH n AS ({_BASIC}) " + " UNION ALL ".join(f"SELECT '{p}' AS piece, ts, {p} AS value FROM n" for p in anomaly.PIECES),
+)
+# Holt-Winters with a season as a queue, whose head is the next point's; the period from the usual gap.
+add(
+    "n02_anomalies_agile",
+    lambda s, d: rounded(one(s, d, "anomalies(a, 'agile', 2, 'daily')"), "raw", "upper", "lower", "scores", "predictions"),
+    f"""WITH RECURSIVE x AS ({_HOURLY}),
+    o AS (SELECT row_number() {W} - 1 AS i, ts, v FROM x),
+    l AS (SELECT list(v ORDER BY ts) AS vs, list(ts ORDER BY ts) AS t FROM x),
+    g AS (SELECT vs, [t[j + 1] - t[j] FOR j IN range(1, len(t))] AS gaps, len(t) - 1 AS n FROM l),
+    q AS (SELECT vs, list_sort(gaps[1:10] || gaps[n // 2 + 1:n // 2 + 10] || gaps[n - 9:n]) AS few FROM g),
+    p AS (SELECT vs, CAST({DAY} // few[len(few) // 2 + 1] AS BIGINT) AS period FROM q),
+    h AS (SELECT period, list_avg(vs[1:period]) AS level, [z - list_avg(vs[1:period]) FOR z IN vs[1:period]] AS season FROM p),
+    r(i, level, trend, season, guess) AS (
+      SELECT -1::BIGINT, level, 0::DOUBLE, season, 0::DOUBLE FROM h
+      UNION ALL
+      SELECT i, 0.3 * (v - s) + 0.7 * (level + trend), 0.1 * (0.3 * (v - s) + 0.7 * (level + trend) - level) + 0.9 * trend,
+        list_append(season[2:], 0.3 * (v - (0.3 * (v - s) + 0.7 * (level + trend))) + 0.7 * s), level + trend + s
+      FROM (SELECT o.i, o.v, r.level, r.trend, r.season, r.season[1] AS s FROM r JOIN o ON o.i = r.i + 1)),
+    e AS (SELECT o.i, o.ts, o.v, r.guess, coalesce(stddev_samp(o.v - r.guess) OVER (ORDER BY o.i ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), 0) AS dev FROM o JOIN r USING (i)),
+    b AS (SELECT *, greatest(dev, abs(guess) * 0.01) AS s, greatest(10, (SELECT period FROM h) // 4) AS least FROM e)
+    SELECT {bounded("least", "s", "guess", 2)} FROM b""",
 )
-add("n02_anomalies_agile", lambda s, d: one(s, d, "anomalies(a, 'agile', 2, 'daily')"))
 add("n03_anomalies_robust", lambda s, d: one(s, d, "anomalies(a, 'robust', 3, 'daily')"))
 add("p02_forecast_seasonal", lambda s, d: one(s, d, "forecast(a, 'seasonal', 2, seasonality='daily')"))
 add("p03_forecast_multi", lambda s, d: one(s, d, "forecast(a, 'seasonal', 2, seasonality='multi')"))
 add("p04_forecast_auto", lambda s, d: one(s, d, "forecast(a, 'seasonal', 2, seasonality='auto')"))
-add("p01_forecast_reactive", lambda s, d: one(s, d, "forecast(a, 'linear', 2, model='reactive', history='1w')"))
-add(
-    "p01_forecast_linear",
-    lambda s, d: rounded(one(s, d, "forecast(a, 'linear', 2)", "1d"), "past", "forecast", "upper", "lower"),
-    f"""WITH x AS (SELECT t // {DAY} * {DAY} AS ts, avg(value) AS v FROM {EV} WHERE {RANGE} GROUP BY 1),
-    o AS (SELECT ts, v, row_number() {W} - 1 AS i, count(*) OVER () AS n FROM x),
-    r AS (SELECT regr_slope(v, i) AS k, regr_intercept(v, i) AS c, avg(i) AS m, regr_sxx(v, i) AS sxx, any_value(n) AS n,
-      min(ts) AS lo, max(ts) AS hi, (max(ts) - min(ts)) // (any_value(n) - 1) AS gap FROM o),
-    e AS (SELECT sqrt(sum((v - k * i - c) ** 2) / (any_value(o.n) - 2)) AS dev FROM o, r),
-    h AS (SELECT unnest(range(1, ({END} - {START}) // gap + 1)) AS j FROM r),
-    f AS (SELECT hi + gap * j AS ts, k * ((hi + gap * j - lo) / gap) + c AS y,
-      2 * dev * sqrt(1 + 1 / n + ((hi + gap * j - lo) / gap - m) ** 2 / sxx) AS w FROM h, r, e)
-    SELECT ts, round(v, 6) AS past, CASE WHEN i = n - 1 THEN round(v, 6) END AS forecast, NULL::DOUBLE AS upper, NULL::DOUBLE AS lower FROM o
-    UNION ALL SELECT ts, NULL, round(y, 6), round(y + w, 6), round(y - w, 6) FROM f""",
+
+
+def line(x: str, weight: str = "1.0", start: str = "0", keys: str = "") -> str:
+    """Weighted least squares over the series x (keys, ts, v), from point `start` on (of n points), and its future."""
+    k, using = (f"{keys}, ", f"USING ({keys})") if keys else ("", "ON true")
+    by = f"PARTITION BY {keys}" if keys else ""
+    group = f"GROUP BY {keys}" if keys else ""
+    return f"""WITH x AS ({x}),
+    o AS (SELECT {k}ts, v, row_number() OVER ({by} ORDER BY ts) - 1 AS i, count(*) OVER ({by}) AS n FROM x),
+    lim AS (SELECT {k}min(ts) AS lo, max(ts) AS hi, (max(ts) - min(ts)) // (any_value(n) - 1) AS gap FROM o {group}),
+    c AS (SELECT {k}i, v, {weight} AS w FROM o WHERE i >= {start}),
+    m AS (SELECT {k}sum(w) AS total, sum(w * i) / sum(w) AS mx, sum(w * v) / sum(w) AS my, count(*) AS n FROM c {group}),
+    q AS (SELECT {k}any_value(total) AS total, any_value(mx) AS mx, any_value(my) AS my, any_value(m.n) AS n,
+      sum(w * (i - mx) ** 2) AS sxx, sum(w * (i - mx) * (v - my)) / sum(w * (i - mx) ** 2) AS slope FROM c JOIN m {using} {group}),
+    e AS (SELECT {k}any_value(total) AS total, any_value(mx) AS mx, any_value(my) AS my, any_value(n) AS n, any_value(sxx) AS sxx, any_value(slope) AS slope,
+      sqrt(sum(w * (v - my - slope * (i - mx)) ** 2) * any_value(n) / (any_value(total) * (any_value(n) - 2))) AS dev FROM c JOIN q {using} {group}),
+    h AS (SELECT {k}lo, hi, gap, unnest(range(1, ({END} - {START}) // gap + 1)) AS j FROM lim),
+    f AS (SELECT {k}hi + gap * j AS ts, my + slope * ((hi + gap * j - lo) / gap - mx) AS y,
+      2 * dev * sqrt(1 + 1 / n + ((hi + gap * j - lo) / gap - mx) ** 2 / sxx) AS s FROM h JOIN e {using})
+    SELECT {k}ts, round(v, 6) AS past, CASE WHEN i = n - 1 THEN round(v, 6) END AS forecast, NULL::DOUBLE AS upper, NULL::DOUBLE AS lower FROM o
+    UNION ALL SELECT {k}ts, NULL, round(y, 6), round(y + s, 6), round(y - s, 6) FROM f"""
+
+
+FORECAST = ("past", "forecast", "upper", "lower")
+_DAILY = f"SELECT t // {DAY} * {DAY} AS ts, avg(value) AS v FROM {EV} WHERE {RANGE} GROUP BY 1"
+_BYTYPE = f"SELECT event_type, t // {DAY} * {DAY} AS ts, avg(value) AS v FROM {EV} WHERE {RANGE} GROUP BY 1, 2"
+add("p01_forecast_linear", lambda s, d: rounded(one(s, d, "forecast(a, 'linear', 2)", "1d"), *FORECAST), line(_DAILY))
+add("p01_forecast_simple", lambda s, d: rounded(one(s, d, "forecast(a, 'linear', 2, model='simple')", "1d"), *FORECAST), line(_DAILY, start="n // 2"))
+add(
+    "p01_forecast_reactive",
+    lambda s, d: rounded(one(s, d, "forecast(a, 'linear', 2, model='reactive', history='1w')"), *FORECAST),
+    line(f"SELECT * FROM ({_HOURLY}) WHERE ts >= (SELECT max(t // {HOUR} * {HOUR}) FROM {EV} WHERE {RANGE}) - {7 * DAY}", "exp(-0.05 * (n - 1 - i))"),
+)
+add(
+    "p10_forecast_by_type",
+    lambda s, d: rounded(derive_by({"events": events(s, d)}, DerivedQuery().query("a", "avg:events(value)").formula("forecast(a, 'linear', 2)").between(START, END).every("1d"), ["event_type"]), *FORECAST),
+    line(_BYTYPE, keys="event_type"),
 )
 
 # Catalog.
@@ -466,8 +526,20 @@ add(
     lambda s, d: catalog.field_stats(events(s, d)),
     f"SELECT event_type, user_id, 'value' AS field, count(value) AS n, min(t) AS min_ts, max(t) AS max_ts FROM {EV} WHERE value IS NOT NULL GROUP BY 1, 2",
 )
-add("a24_cardinality_exact", lambda s, d: catalog.cardinality(events(s, d), exact=True), "SELECT count(*) AS estimate FROM (SELECT DISTINCT event_type, user_id FROM events)")
-add("a24_tag_cardinality_exact", lambda s, d: catalog.cardinality(events(s, d), "event_type", True), "SELECT event_type AS value, count(DISTINCT user_id) AS estimate FROM events GROUP BY 1")
+add("a24_cardinality_exact", lambda s, d: catalog.cardinality(events(s, d), exact=True), "SELECT count(*) AS estimate FROM (SELECT DISTINCT event_type, user_id FROM events WHERE value IS NOT NULL)")
+add("a24_tag_cardinality_exact", lambda s, d: catalog.cardinality(events(s, d), "event_type", True), "SELECT event_type AS value, count(DISTINCT user_id) AS estimate FROM events WHERE value IS NOT NULL GROUP BY 1")
+
+
+def gaps(s, d):
+    """Fields that not every series has."""
+    df = lineitem(s, d).df.withColumn("l_tax", F.expr("if(l_linenumber > 3, null, l_tax)")).withColumn("l_discount", F.expr("if(l_returnflag = 'R', null, l_discount)"))
+    return Source(df, "lineitem", ("l_returnflag", "l_orderkey", "l_linenumber"), ("l_quantity", "l_tax", "l_discount"), "l_shipdate")
+
+
+_TAGSETS = "SELECT DISTINCT l_returnflag, l_orderkey, l_linenumber, {f} FROM lineitem WHERE {c}"
+_GAPS = " UNION ALL ".join(_TAGSETS.format(f=f"'{f}' AS f", c=c) for f, c in (("q", "l_quantity IS NOT NULL"), ("t", "l_linenumber <= 3 AND l_tax IS NOT NULL"), ("d", "l_returnflag <> 'R' AND l_discount IS NOT NULL")))
+add("a24_cardinality_of_gappy_fields", lambda s, d: catalog.cardinality(gaps(s, d), exact=True), f"SELECT count(*) AS estimate FROM ({_GAPS})")
+add("a24_tag_cardinality_of_gappy_fields", lambda s, d: catalog.cardinality(gaps(s, d), "l_returnflag", True), f"SELECT l_returnflag AS value, count(*) AS estimate FROM ({_GAPS}) GROUP BY 1")
 add("a24_cardinality_estimate", lambda s, d: catalog.cardinality(events(s, d)))
 
 
@@ -516,7 +588,12 @@ add(
     lambda s, d: formats.statistics(numeric(events(s, d), "avg:events(value){} by {event_type}", START, END, "1h"), ["event_type"]),
     f"SELECT count(DISTINCT event_type) AS series_count, count(*) AS point_count FROM (SELECT event_type, t // {HOUR} FROM {EV} WHERE {RANGE} GROUP BY ALL)",
 )
-add("s15_response_json", lambda s, d: formats.response(numeric(events(s, d), "avg:events(value){} by {event_type}", START, END, "1d"), "events", ["event_type"]))
+add(
+    "s15_response_json",
+    lambda s, d: formats.response(numeric(events(s, d), "max:events(value){} by {event_type}", START, END, "1d"), "events", ["event_type"]),
+    f"""SELECT event_type, '{{"measurement":"events","groupTags":{{"event_type":"' || event_type || '"}},"fields":{{"value":{{"timestamps":' || replace(list(ts ORDER BY ts)::VARCHAR, ' ', '')
+      || ',"values":' || replace(list(v ORDER BY ts)::VARCHAR, ' ', '') || '}}}}}}' AS series FROM ({_BYTYPE.replace('avg', 'max')}) GROUP BY 1""",
+)
 
 
 def _written(s, d):
@@ -534,9 +611,26 @@ add(
     lambda s, d: rounded(subscribe.tumbling(events(s, d), "avg:events(value){event_type:click}", "10m")).drop("text"),
     f"SELECT event_type, user_id, 'value' AS field, t // {10 * MINUTE} * {10 * MINUTE} AS ts, round(avg(value), 6) AS value, count(*) AS n FROM {EV} WHERE event_type = 'click' AND value IS NOT NULL GROUP BY 1, 2, 4",
 )
+for _m in subscribe.METHODS:
+    add(
+        f"l03_tumbling_{_m}",
+        lambda s, d, m=_m: rounded(subscribe.tumbling(events(s, d), f"{m}:events(value)", "6h")).drop("text"),
+        f"SELECT event_type, user_id, 'value' AS field, t // {6 * HOUR} * {6 * HOUR} AS ts, round({SQL[_m].replace('(t, event_type, user_id)', 't')}, 6) AS value, count(*) AS n FROM {EV} WHERE value IS NOT NULL GROUP BY 1, 2, 4",
+    )
+add(
+    "l04_string_buckets",
+    lambda s, d: subscribe.tumbling(typed_events(s, d), "latest:events(props)", "6h").drop("value"),
+    f"SELECT event_type, user_id, 'props' AS field, t // {6 * HOUR} * {6 * HOUR} AS ts, arg_max(props, t) AS text, count(*) AS n FROM (SELECT *, epoch_us(ts) * 1000 AS t FROM events) WHERE props IS NOT NULL GROUP BY 1, 2, 4",
+)
+_CARRIED = ", ".join(
+    f"CASE WHEN last_value(CASE WHEN {n} IS NOT NULL THEN ts END IGNORE NULLS) {W} >= ts - {subscribe.CARRY * MINUTE} THEN last_value({n} IGNORE NULLS) {W} END AS {n}" for n in KINDS
+)
 add(
     "l07_carried_formula",
-    lambda s, d: rounded(subscribe.carried({k: numeric(events(s, d), f"sum:events(value){{event_type:{t},user_id:~1.*}}", START, END, "1h").select("ts", "value") for k, t in (("a", "click"), ("b", "purchase"))}, "a - b", "1h")),
+    lambda s, d: rounded(subscribe.carried({k: numeric(events(s, d), f"sum:events(value){{event_type:{t}}}", START, END, "1m").select("ts", "value") for k, t in KINDS.items()}, "a - b", "1m")),
+    "WITH "
+    + ", ".join(f"x{k} AS (SELECT t // {MINUTE} * {MINUTE} AS ts, sum(value) AS v FROM {EV} WHERE event_type = '{t}' AND {RANGE} GROUP BY 1)" for k, t in KINDS.items())
+    + f", g AS (SELECT ts, xa.v AS a, xb.v AS b FROM xa FULL JOIN xb USING (ts)), c AS (SELECT ts, {_CARRIED} FROM g) SELECT ts, round(a - b, 6) AS value FROM c",
 )
 
 
@@ -609,4 +703,3 @@ add(
     b AS (SELECT event_type, i, v, mean, greatest(dev, abs(mean) * 0.01) AS s FROM m)
     SELECT event_type, round(max(CASE WHEN i < 10 THEN 0 ELSE greatest(v - (mean + 2 * s), 0) + greatest(mean - 2 * s - v, 0) END), 6) AS alert FROM b GROUP BY 1""",
 )
-add("n06_anomaly_pieces", lambda s, d: anomaly.pieces(one(s, d, "anomalies(a, 'basic', 2)")))
