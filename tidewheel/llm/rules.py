@@ -3,6 +3,7 @@
 Every measure is a built-in SQL expression over the text and RULES is a table of
 (measure, low, high); both become columns of a single select, with no user
 function, shuffle or join. Repeated eight-word windows are found inside the row:
+words are hashed once and windows by their words' hashes; where a hash repeats,
 each window's hash and position are packed into one long, the longs are sorted,
 and neighbours with equal hash bits are compared word by word.
 
@@ -51,7 +52,14 @@ STEPS = (
         "stop_words": "cast(size(array_intersect(transform(words, x -> lower(x)), {stop})) as long)",
     },
     {
-        "packed": f"if(n_words > {WINDOW}, sort_array(transform(sequence(0, size(words) - {WINDOW}), i -> shiftleft(xxhash64(slice(words, i + 1, {WINDOW})), pos_bits) | i)), array())",
+        "hashes": f"if(n_words > {WINDOW}, transform(words, w -> xxhash64(w)), array())",
+    },
+    {
+        "windows": f"transform(slice(hashes, 1, greatest(0, size(hashes) - {WINDOW - 1})), (h, i) -> xxhash64(h, " + ", ".join(f"get(hashes, i + {k})" for k in range(1, WINDOW)) + "))",
+    },
+    {
+        # Most texts repeat nothing: only those whose windows' hashes do are looked at further.
+        "packed": "if(size(array_distinct(windows)) = size(windows), array(), sort_array(transform(windows, (h, i) -> shiftleft(h, pos_bits) | i)))",
     },
     {
         "twice": "filter(sequence(0, size(packed) - 2), j -> size(packed) > 1 and shiftright(get(packed, j), pos_bits) = shiftright(get(packed, j + 1), pos_bits)"
@@ -90,7 +98,7 @@ def measures(docs: DataFrame, rules=RULES) -> DataFrame:
     d = docs.select(F.struct("*").alias("row"), F.col("text"))
     for step in STEPS:
         d = d.withColumns({k: F.expr(v.replace("{stop}", stop)) for k, v in step.items()})
-    return d.withColumn("kept", F.expr(f"not base_failed and {verdict(rules)}")).drop("text", "words", "lines", "packed", "twice", "starts", "pos_bits")
+    return d.withColumn("kept", F.expr(f"not base_failed and {verdict(rules)}")).drop("text", "words", "lines", "hashes", "windows", "packed", "twice", "starts", "pos_bits")
 
 
 def digest(docs: DataFrame) -> DataFrame:
