@@ -25,3 +25,23 @@ def test_pipeline_keeps_columns_and_decides(spark):
             assert again.where("component_id <> doc_id").isEmpty()
         docs, n = out, out.count()
     assert {"copies", "taken"} <= set(docs.columns) and docs.where("copies < 1 OR copies > 3").isEmpty()
+
+
+def test_stages_on_nulls_repeats_and_nothing(spark, tmp_path):
+    import os
+
+    for name in ("labels", "benchmark"):
+        os.symlink(f"/root/testdata/sf0.001/{name}.parquet", tmp_path / f"{name}.parquet")
+    kind = "doc_id long, text string, lang string, source string, n_chars long, size string, row string, th string, n_words string"
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, None, None, None), (1, text, None, None, None), (2, None, "en", "a", None), (3, "", "en", "a", 0), (None, text, None, "b", 3), (4, "other words " * 30_000, "en", "b", 1)]
+    docs = spark.createDataFrame([(*r, "s", "r", "t", "n") for r in rows], kind)
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+        out = stage(spark, docs, str(tmp_path)).collect()
+        if i < 4:
+            assert [f for f in out[0].asDict()] == docs.columns, name
+            kept = [(r.doc_id, r.text and r.text[:20], r.row) for r in out]
+            assert (2, None, "r") in kept and (3, "", "r") in kept and any(r[0] is None for r in kept), name
+        else:
+            assert {r.doc_id for r in out} <= {1, None, 4} and out[0].size == "s" and out[0].mix_size > 0

@@ -252,6 +252,12 @@ def run_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tidewheel-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path that run_dir() gave out, in whatever store it is."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 class Bloom:
     """A filter of 64-bit hash ids, built on the executors: ten bits or more for
     each id, up to MOST (16 MB, what reaches the driver and is broadcast at the
