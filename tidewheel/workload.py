@@ -17,7 +17,7 @@ from .plans.align import align, interpolate
 from .plans.derived import DerivedQuery, derive, derive_by
 from .plans.query import collapsed, numeric, typed
 from .session import ship
-from .sources import formats, writes
+from .sources import formats, proto, writes
 from .sources.points import Source, last_write_wins
 from .streaming import subscribe
 
@@ -652,6 +652,24 @@ def _arrays(s, d):
     return got.select(F.col("tags")["event_type"].alias("event_type"), F.col("tags")["user_id"].alias("user_id"), "ts", F.round("v", 6).alias("v"))
 
 
+def _binary(s, d):
+    """The same as binary requests of one write each, built and parsed back."""
+    import pyarrow as pa
+
+    e = events(s, d).df.where("value IS NOT NULL")
+    ns = (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("t")
+    by = e.groupBy("event_type", F.col("user_id").cast("string").alias("user_id"), F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct(ns, "value"))).alias("p"))
+
+    def encode(batches):
+        for batch in batches:
+            bodies = [proto.request([("events", {"event_type": r["event_type"], "user_id": r["user_id"]}, {"value": ("v", [x["value"] for x in r["p"]])}, [x["t"] for x in r["p"]])]) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(bodies, pa.binary())], ["body"])
+
+    got, _ = proto.parse(by.select("event_type", "user_id", "p").mapInArrow(encode, "body binary"), now=0)
+    return got.select(F.col("tags")["event_type"].alias("event_type"), F.col("tags")["user_id"].alias("user_id"), "ts", F.round("v", 6).alias("v"))
+
+
+add("s05_proto_writes", _binary, f"SELECT event_type, user_id::VARCHAR AS user_id, t AS ts, round(value, 6) AS v FROM {EV} WHERE value IS NOT NULL")
 add("s02_array_writes", _arrays, f"SELECT event_type, user_id::VARCHAR AS user_id, t AS ts, round(value, 6) AS v FROM {EV} WHERE value IS NOT NULL")
 
 
