@@ -530,6 +530,13 @@ def test_similar_is_edit_similarity():
         assert linededup.similar(a, b) == alike(a, b), (a, b)
 
 
+def test_lines_are_cut_from_buffers():
+    texts = ["a\nb", "", "\n", "é\n\nx\n", "last"]
+    for lo in range(5):
+        some = pa.array(["skip\n", *texts])[1 + lo :]
+        assert linededup.split_lines(some) == [x.encode() for t in texts[lo:] for x in t.split("\n")]
+
+
 def cut_lines(rows):
     return {(r.doc_id, int(k)) for r in rows for k in r.removed.split(",") if k}
 
