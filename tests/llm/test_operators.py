@@ -541,6 +541,55 @@ def cut_lines(rows):
     return {(r.doc_id, int(k)) for r in rows for k in r.removed.split(",") if k}
 
 
+def shared_passages(n):
+    """Lines that share a passage of seven tenths and little else."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("etaoinshrd", k=rng.randint(2, 7)))
+    passage = " ".join(word() for _ in range(70))
+    lines = []
+    for _ in range(n):
+        k = rng.randint(0, 30)
+        lines.append(" ".join([*(word() for _ in range(k)), passage, *(word() for _ in range(30 - k))]))
+    return lines
+
+
+def test_distances_stop_at_a_limit():
+    lines = shared_passages(60)
+    plain = linededup.distances(lines[0], lines)
+    for percent in (60, 80, 95):
+        most = [linededup.allowed(lines[0], x, percent) for x in lines]
+        for d, e, m in zip(plain.tolist(), linededup.distances(lines[0], lines, most).tolist(), most, strict=True):
+            assert d == e or min(d, e) > m
+
+
+def test_lines_that_share_a_passage_are_not_walked_one_by_one(monkeypatch):
+    lines = shared_passages(80)
+    n = len(lines)
+    zero, sizes = np.zeros(n, np.uint64), np.array([len(x) for x in lines])
+    walks = []
+    walk = linededup.walk
+    monkeypatch.setattr(linededup, "walk", lambda *a: walks.append(1) or walk(*a))
+    up = linededup._forest((zero, zero), zero, sizes, lines, 90).roots().tolist()
+    assert up == list(range(n)) and len(walks) < n
+    # Of two blocks only what stands in different ones is compared, of one block all.
+    same = [lines[0]] * 4
+    own = np.array([0, 0, 1, 1])
+    assert linededup._forest((zero[:4], zero[:4]), zero[:4], sizes[[0] * 4], [lines[0], lines[0], lines[1], lines[2]], 90, own).roots().tolist() == [0, 1, 2, 3]
+    assert linededup._forest((zero[:4], zero[:4]), zero[:4], sizes[[0] * 4], same, 90, own).roots().tolist() == [0] * 4
+    assert linededup._forest((zero[:4], zero[:4]), zero[:4], sizes[[0] * 4], same, 90, own * 0).roots().tolist() == [0] * 4
+
+
+def test_only_what_meets_in_a_bucket_goes_on():
+    bucket = np.sort(np.random.default_rng(3).integers(0, 40, 60))
+    whole = pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.arange(60))], ["bucket", "id"])
+    want = [(b, i, i - int(np.searchsorted(bucket, b))) for i, b in enumerate(bucket.tolist()) if (bucket == b).sum() > 1]
+    for size in (1, 2, 7, 60):
+        parts = [whole.slice(a, size) for a in range(0, 60, size)]
+        out = [tuple(r.values()) for b in linededup._met(iter([whole.slice(0, 0), *parts])) for r in b.to_pylist()]
+        assert out == want
+    assert sum(b.num_rows for b in linededup._met(iter([]))) == 0
+
+
 def test_line_dedup(spark, monkeypatch):
     rng = random.Random(7)
     pool = [prose(rng, rng.choice([2, 4, 6, 12, 40]), 900) for _ in range(30)]
