@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidewheel.llm import decontam, graph, license, linededup, mix, passages, quality, rules, sigtree, toxicity, wrapper
 from tidewheel.llm.text import PUNCT, SPACE, Words, words_of
@@ -553,6 +554,23 @@ def shared_passages(n):
     return lines
 
 
+def test_what_led_to_a_checkpoint_is_let_go(spark):
+    import weakref
+
+    made = spark.range(100).groupBy((F.col("id") % 7).alias("k")).count()
+    ref = weakref.ref(made)
+    held = [made]
+    del made
+    seen = []
+    real = graph.gc.collect
+    graph.gc.collect = lambda *a: real(*a) and 0 or seen.append(ref() is None)
+    try:
+        out = graph.cut(held.pop())  # not in an assert, which keeps what it is given
+    finally:
+        graph.gc.collect = real
+    assert out.count() == 7 and seen[0]
+
+
 def test_distances_stop_at_a_limit():
     lines = shared_passages(60)
     plain = linededup.distances(lines[0], lines)
