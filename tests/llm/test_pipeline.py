@@ -45,3 +45,32 @@ def test_stages_on_nulls_repeats_and_nothing(spark, tmp_path):
             assert (2, None, "r") in kept and (3, "", "r") in kept and any(r[0] is None for r in kept), name
         else:
             assert {r.doc_id for r in out} <= {1, None, 4} and out[0].size == "s" and out[0].mix_size > 0
+
+
+def test_a_cut_gives_freed_native_memory_back(spark):
+    import re
+    from pathlib import Path
+
+    from tidewheel.llm import graph
+
+    jvm = spark.sparkContext._jvm
+    unsafe = jvm.org.apache.spark.unsafe.Platform
+    rollup = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup")
+
+    def anonymous():
+        return int(re.search(r"\nPss_Anon:\s+(\d+)", rollup.read_text())[1]) / 1024
+
+    for _ in range(3):  # the heap has shrunk as far as it will
+        graph.cut(spark.range(1))
+    size = 100_000
+    blocks = [unsafe.allocateMemory(size) for _ in range(3000)]
+    for b in blocks:
+        unsafe.setMemory(b, 1, size)
+    # The last one stays in use, so that the C library can't give up the end of its area.
+    for b in blocks[:-1]:
+        unsafe.freeMemory(b)
+    before = anonymous()
+    graph.cut(spark.range(1))
+    after = anonymous()
+    unsafe.freeMemory(blocks[-1])
+    assert before - after > 200, (before, after)

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import graph
 from .text import PUNCT, slices, words_of
 
 WINDOW, STRIDE, PIECE = 32, 16, 32
@@ -398,6 +399,8 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", m: int = 5, r
     """Trains in one task on the bounded sample; only the network reaches the driver."""
     rows = sample(docs, labels, target, m, r).repartition(1).sortWithinPartitions("h", "doc_id").select("text", "label", "weight")
     found = rows.mapInArrow(_train, "net binary").toArrow().column("net")
+    del rows
+    graph.release(docs.sparkSession)
     return pickle.loads(found[0].as_py()) if len(found) else None
 
 
