@@ -633,6 +633,15 @@ def test_line_dedup(spark, monkeypatch):
     assert cut_lines(linededup.digest(docs(spark, texts)).collect()) == gone
 
 
+def test_no_step_of_line_dedup_calls_a_function_for_each_key(spark, monkeypatch):
+    plans, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: plans.append(df._jdf.queryExecution().toString()) or cut(df))
+    lines = ["one two three four five six seven eight", "One two three four five six seven nine", "something else altogether"]
+    assert cut_lines(linededup.digest(docs(spark, lines)).collect()) == brute_lines(lines)
+    exploded = [p for p in plans if "AS bucket" in p or "bucket#" in p and "explode" in p]
+    assert exploded and not any("array_compact" in p or "filter(array(k0" in p for p in exploded)
+
+
 def test_line_dedup_edges(spark):
     kept = linededup.keep(docs(spark, ["a b c d e", "A b c d  e!", "", None], [4, 2, 3, 5]).withColumnRenamed("lang", "lines")).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == [(2, "A b c d  e!"), (3, ""), (5, None)]
